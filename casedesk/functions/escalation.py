@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casedesk.functions import lexicons as lex
 from casedesk.functions.rules import any_term
+from casedesk.functions.staging import staged
 from casedesk.functions.text import normalize
 
 # Fixed value: an unclear message below this confidence goes to a person.
@@ -75,13 +76,12 @@ def with_escalation(
     normalize_quotes: bool = False,
 ) -> DataFrame:
     """The table with ``escalation_rule``, ``escalate`` and ``escalation_reason``."""
-    staged = df.withColumns({
-        "_text": normalize(F.col(message), normalize_quotes),
-        "_topic": normalize(F.col(intent)),
-        "_score": F.coalesce(F.col(confidence).try_cast("double"), F.lit(0.0)),
-    })
-    ruled = staged.withColumn(
-        "escalation_rule", escalation_rule(F.col("_topic"), F.col("_score"), F.col("_text")))
+    inputs = staged(
+        df, _text=normalize(F.col(message), normalize_quotes), _topic=normalize(F.col(intent)),
+        _score=F.coalesce(F.col(confidence).try_cast("double"), F.lit(0.0)))
+    ruled = staged(
+        inputs,
+        escalation_rule=escalation_rule(F.col("_topic"), F.col("_score"), F.col("_text")))
     return ruled.withColumns({
         "escalate": escalates(F.col("escalation_rule")),
         "escalation_reason": reason(F.col("escalation_rule")),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casedesk.functions import lexicons as lex
 from casedesk.functions import text as tx
+from casedesk.functions.staging import staged
 
 
 def needed_terms(terms) -> list[str]:
@@ -55,11 +56,12 @@ def flags(text: Column, patterns) -> list[Column]:
 def with_label(df: DataFrame, out: str, text: Column, rules, match: str = "substring") -> DataFrame:
     """The table with the rule label of a text.
 
-    The text becomes a column of its own first, so that it is computed once per row
-    and not once per term.
+    Text and label are staged: the text is cleaned once per row, not once per term,
+    and a filter on the label does not run the rules again.
     """
-    staged = df.withColumn("_rule_text", text)
-    return staged.withColumn(out, first_label(F.col("_rule_text"), rules, match)).drop("_rule_text")
+    prepared = staged(df, _rule_text=text)
+    return staged(prepared, **{out: first_label(F.col("_rule_text"), rules, match)}).drop(
+        "_rule_text")
 
 
 def with_silver_intent(df: DataFrame, out: str = "intent", match: str = "substring") -> DataFrame:
@@ -74,10 +76,9 @@ def with_baseline_intent(df: DataFrame, out: str = "keyword_prediction") -> Data
 
 def with_silver_score(df: DataFrame, intent: str, out: str) -> DataFrame:
     """The share-of-evidence score of a silver label, for use where no model is trained."""
-    staged = df.withColumn(
-        "_rule_text", tx.cleaned_context(F.col("previous_context"), F.col("customer_message")))
+    text = tx.cleaned_context(F.col("previous_context"), F.col("customer_message"))
     score = rule_score(F.col("_rule_text"), F.col(intent), lex.SILVER_RULES)
-    return staged.withColumn(out, score).drop("_rule_text")
+    return staged(staged(df, _rule_text=text), **{out: score}).drop("_rule_text")
 
 
 def intent_number(intent: Column) -> Column:
@@ -135,16 +136,14 @@ def proposal_confidence(full_text: Column, intent: Column) -> Column:
 def with_proposed_labels(df: DataFrame) -> DataFrame:
     """Proposed intent, escalation, reason and confidence band, ready for review."""
     text, intent = F.col("_full_text"), F.col("auto_intent")
+    full_text = F.lower(tx.raw_context(F.col("previous_context"), F.col("customer_message")))
+    labelled = staged(
+        staged(df, _full_text=full_text), auto_intent=first_label(text, lex.PROPOSAL_RULES))
     return (
-        df.withColumn("_full_text", F.lower(
-            tx.raw_context(F.col("previous_context"), F.col("customer_message"))))
-        .withColumn("auto_intent", first_label(text, lex.PROPOSAL_RULES))
+        staged(labelled, auto_escalate=proposed_escalation(text, intent),
+               confidence=proposal_confidence(text, intent))
         .withColumns({
-            "auto_intent_number": intent_number(intent),
-            "auto_escalate": proposed_escalation(text, intent),
-            "confidence": proposal_confidence(text, intent),
-            "review_status": F.lit("REVIEW"),
-        })
+            "auto_intent_number": intent_number(intent), "review_status": F.lit("REVIEW")})
         .withColumn("auto_label_reason", label_reason(intent, F.col("auto_escalate")))
         .drop("_full_text")
     )

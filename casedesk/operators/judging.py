@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from casedesk.functions.staging import staged
 from casedesk.schemas import JUDGE_SCORES, JUDGE_VERDICT
 
 ID = "customer_tweet_id"
@@ -66,11 +67,12 @@ def parse_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
     corrupt = "_unreadable"
     schema = T.StructType([*JUDGE_VERDICT.fields, T.StructField(corrupt, T.StringType())])
     body = F.regexp_extract(F.coalesce(F.col(raw), F.lit("")), r"(?s)\{.*\}", 0)
-    parsed = responses.withColumn("_verdict", F.from_json(
-        body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    parsed = staged(
+        staged(responses, _body=body), _verdict=F.from_json("_body", schema, options))
     ok = F.coalesce(
-        F.col("_verdict").isNotNull() & F.col("_verdict")[corrupt].isNull() & (body != ""),
-        F.lit(False))
+        F.col("_verdict").isNotNull() & F.col("_verdict")[corrupt].isNull()
+        & (F.col("_body") != ""), F.lit(False))
     rest = [c for c in responses.columns if c != raw]
     return parsed.withColumn("parse_ok", ok).select(
         *rest, "parse_ok",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from casedesk.functions import lexicons as lex
 from casedesk.functions import text as tx
 from casedesk.functions.rules import any_term
+from casedesk.functions.staging import staged
 
 
 def _unpivot(row: DataFrame, names, key: str, value: str) -> DataFrame:
@@ -92,7 +93,7 @@ def top_keywords(messages: DataFrame, column: str = "customer_message", n: int =
 
 
 def _lowered(messages: DataFrame, column: str) -> DataFrame:
-    return messages.withColumn("_text", F.lower(tx.or_empty(F.col(column))))
+    return staged(messages, _text=F.lower(tx.or_empty(F.col(column))))
 
 
 def theme_counts(messages: DataFrame, column: str = "customer_message") -> DataFrame:

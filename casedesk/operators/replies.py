@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from casedesk.functions import lexicons as lex
 from casedesk.functions.rules import flags
+from casedesk.functions.staging import staged
 
 
 def reply_patterns(evidence: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def reply_patterns(evidence: DataFrame) -> DataFrame:
     joined = F.lower(F.concat_ws(" ", F.filter(
         F.transform("evidence", lambda e: e["brand_reply"]), lambda r: r != "")))
     return (
-        evidence.withColumn("_replies", joined)
+        staged(evidence, _replies=joined)
         .select("*", *flags(F.col("_replies"), lex.EVIDENCE_PATTERNS)).drop("_replies")
     )
 

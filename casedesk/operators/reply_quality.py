@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casedesk.functions import lexicons as lex
 from casedesk.functions import text as tx
 from casedesk.functions.rules import flags
+from casedesk.functions.staging import staged
 from casedesk.operators.text_similarity import with_pair_cosine
 
 # Weights of the grounding score.
@@ -35,7 +36,7 @@ def length_score(words: Column) -> Column:
 def with_reply_flags(replies: DataFrame, column: str = "generated_reply") -> DataFrame:
     """Adds five yes/no properties and the length score of a reply."""
     return (
-        replies.withColumn("_reply", F.lower(tx.strip(F.col(column))))
+        staged(replies, _reply=F.lower(tx.strip(F.col(column))))
         .select("*", *flags(F.col("_reply"), lex.REPLY_PATTERNS),
                 length_score(tx.word_count(F.col("_reply"))).alias("reply_length_score"))
         .drop("_reply")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casedesk.functions import text as tx
+from casedesk.functions.staging import staged
 
 # With two documents a shared term has idf 1 and any other ln(3/2) + 1.
 SINGLE_IDF = math.log(1.5) + 1
@@ -59,9 +60,7 @@ def with_pair_cosine(df: DataFrame, left: str, right: str, out: str = "similarit
 
     start = F.struct(
         F.lit("").alias("term"), *[F.lit(0.0).alias(n) for n in ("a", "b", "dot", "na", "nb")])
-    return (
-        df.withColumns({"_left": tx.tokens(F.col(left)), "_right": tx.tokens(F.col(right))})
-        .withColumn("_entries", F.array_sort(F.concat(entries("_left", 0), entries("_right", 1))))
-        .withColumn(out, F.aggregate("_entries", start, _next_entry, _cosine))
-        .drop("_left", "_right", "_entries")
-    )
+    words = staged(df, _left=tx.tokens(F.col(left)), _right=tx.tokens(F.col(right)))
+    merged = F.sort_array(F.concat(entries("_left", 0), entries("_right", 1)))
+    return staged(words, **{out: F.aggregate(merged, start, _next_entry, _cosine)}).drop(
+        "_left", "_right")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casedesk.functions import text as tx
+from casedesk.functions.staging import staged
 
 
 def with_term_counts(docs: DataFrame, text: Column, stop_words=()) -> DataFrame:
@@ -21,14 +22,10 @@ def with_term_counts(docs: DataFrame, text: Column, stop_words=()) -> DataFrame:
     ends = F.concat(F.slice(F.col("_starts"), F.lit(2), n), F.array(n + 1))
     terms = F.zip_with(F.col("_starts"), ends, lambda a, b: F.struct(
         F.get(ordered, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
-    return (
-        docs.withColumn("_words", tx.tokens(text, stop_words))
-        .filter(F.size("_words") > 0)
-        .withColumn("_ordered", F.array_sort(tx.with_bigrams(F.col("_words"))))
-        .withColumn("_starts", starts)
-        .withColumn("terms", terms)
-        .drop("_words", "_ordered", "_starts")
-    )
+    words = staged(docs, _words=tx.tokens(text, stop_words)).filter(F.size("_words") > 0)
+    sorted_terms = staged(words, _ordered=F.sort_array(tx.with_bigrams(F.col("_words"))))
+    return staged(staged(sorted_terms, _starts=starts), terms=terms).drop(
+        "_words", "_ordered", "_starts")
 
 
 def term_stats(counted: DataFrame, copies: Column | None = None) -> DataFrame:
