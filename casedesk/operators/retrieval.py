@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from casedesk.functions import text as tx
 from casedesk.operators import tfidf
+from casedesk.session import materialize
 
 MAX_FEATURES = 50_000
 # Query text that one broadcast block may hold; its postings stay well below 100 MB.
@@ -24,6 +25,12 @@ class CaseIndex:
     vocab: DataFrame     # term, df, cf, idf
     vectors: DataFrame   # rep_id, vector
 
+    def stored(self) -> "CaseIndex":
+        """The index as files: built once, read by every retrieval."""
+        cases = materialize(self.cases, "index-cases")
+        vocab = materialize(self.vocab, "index-vocabulary")
+        return CaseIndex(cases, vocab, materialize(self.vectors, "index-vectors"))
+
 
 def with_search_text(messages: DataFrame) -> DataFrame:
     """Adds the text that is compared, and a short key that stands for it in joins."""
@@ -79,10 +86,12 @@ def _smallest_ids(cases: DataFrame, k: int) -> DataFrame:
 def _block_top_k(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Top k of one block of queries against the whole index.
 
-    The block is broadcast, so the products of a case are summed in the task that
-    holds the case; before the shuffle every task cuts its list to k per query.
+    The vectors are spread by case and the block is broadcast, so the products of a
+    case are summed in the task that holds the case; before the next shuffle every
+    task cuts its list to k per query. No pair of query and case crosses the network.
     """
-    shared = tfidf.postings(vectors, "rep_id").join(
+    spread = vectors.repartition("rep_id")
+    shared = tfidf.postings(spread, "rep_id").join(
         F.broadcast(block.withColumnRenamed("weight", "query_weight")), "term")
     scores = shared.groupBy("rep_id", "query_rep").agg(
         F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("similarity"))

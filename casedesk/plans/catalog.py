@@ -10,9 +10,9 @@ from casedesk.functions import rules
 from casedesk.functions import text as tx
 from casedesk.operators import (
     agent, classifier, evaluation, judging, pairs, profile, replies, reply_quality, retrieval,
-    review, tfidf)
+    review, sampling, tfidf)
 from casedesk.plans import fixtures
-from casedesk.plans.workspace import Workspace
+from casedesk.plans.workspace import GOLDEN_SIZE, Workspace
 from casedesk.session import run_folder
 from casedesk.sources.files import ensure_string_columns
 from casedesk.streaming import triage
@@ -120,21 +120,22 @@ def _stream_triage(w: Workspace) -> DataFrame:
 
 
 def _intent_predictions(w: Workspace) -> DataFrame:
-    return w.model.predict(w.open_messages).select(
+    return w.model.predict(w.stored_open).select(
         ID, "predicted_intent", F.round("prediction_confidence", 4).alias("confidence"))
 
 
 def _intent_model_eval(w: Workspace) -> DataFrame:
     """Report of the trained model on the evaluation sample, which it has not seen."""
-    sample = w.labelled_pairs.join(w.golden.select(ID), ID, "left_semi")
+    sample = w.labelled(sampling.golden_set(w.stored_pairs, GOLDEN_SIZE).select(
+        ID, "previous_context", "customer_message"))
     predicted = w.model.predict(sample, "merged").drop("probabilities")
     return evaluation.intent_report(predicted)
 
 
 def _agent_decisions(w: Workspace) -> DataFrame:
-    predictions = w.model.predict(w.open_messages).select(
+    predictions = w.model.predict(w.stored_open).select(
         ID, "predicted_intent", F.col("prediction_confidence").alias("confidence"))
-    decisions = agent.agent_decisions(agent.answer(w.open_messages, predictions, w.index))
+    decisions = agent.agent_decisions(agent.answer(w.stored_open, predictions, w.index))
     return decisions.withColumn("evidence", F.to_json("evidence"))
 
 
@@ -177,10 +178,10 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "case_index": lambda w: _rounded(retrieval.index_postings(w.index), "weight"),
     "similar_cases": lambda w: w.similar,
     "reply_patterns": _reply_patterns,
-    "draft_replies": lambda w: replies.draft_replies(w.open_messages, _evidence(w)).select(
+    "draft_replies": lambda w: replies.draft_replies(w.stored_open, _evidence(w)).select(
         ID, "generated_reply", "retrieved_case_count"),
     "reply_flags": lambda w: reply_quality.with_reply_flags(
-        replies.draft_replies(w.open_messages, _evidence(w))).select(
+        replies.draft_replies(w.stored_open, _evidence(w))).select(
         ID, *reply_quality.FLAG_COLUMNS, "reply_length_score"),
     "reply_similarity": lambda w: _rounded(
         reply_quality.reply_similarity(w.answered), "similarity"),

@@ -285,8 +285,8 @@ def _grounding() -> str:
             from (select *, {word_list('brand_reply')} as words from pair_texts))
       group by all),
     pair_sums as (select customer_tweet_id, case_id, sum(a * b) as dot,
-        sum((a * idf) * (a * idf)) as na, sum((b * idf) * (b * idf)) as nb
-      from (select *, case when a > 0 and b > 0 then 1.0 else {single} end as idf from pair_tf)
+        sum(pow(a * idf, 2)) as na, sum(pow(b * idf, 2)) as nb
+      from (select *, case when a > 0 and b > 0 then 1.0 else {single} end::double as idf from pair_tf)
       group by all),
     pair_cosine as (select p.customer_tweet_id, p.case_id,
         case when na > 0 and nb > 0 then dot / sqrt(na * nb) else 0.0 end as similarity

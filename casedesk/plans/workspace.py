@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casedesk.functions import rules
 from casedesk.operators import (
     agent, classifier, evaluation, pairs, reply_quality, retrieval, sampling)
-from casedesk.session import run_folder
+from casedesk.session import materialize, run_folder
 from casedesk.sources import tables
 
 # Rows of the evaluation sample drawn by the registered queries.
@@ -35,6 +35,15 @@ class Workspace:
         """Messages without a usable answer: what the agent works on."""
         return pairs.open_messages(self.tweets, self.pairs)
 
+    @cached_property
+    def stored_pairs(self) -> DataFrame:
+        """The pairs as files, for work that reads them several times."""
+        return materialize(self.pairs, "pairs")
+
+    @cached_property
+    def stored_open(self) -> DataFrame:
+        return materialize(pairs.open_messages(self.tweets, self.stored_pairs), "open-messages")
+
     @cached_property
     def golden(self) -> DataFrame:
         return sampling.golden_set(self.pairs, GOLDEN_SIZE)
@@ -44,7 +53,7 @@ class Workspace:
         return sampling.without(self.pairs, self.golden)
 
     @staticmethod
-    def _labelled(messages: DataFrame) -> DataFrame:
+    def labelled(messages: DataFrame) -> DataFrame:
         """Proposed labels taken as the labels to compare with."""
         return rules.with_proposed_labels(messages).select(
             "customer_tweet_id", "previous_context", "customer_message",
@@ -55,11 +64,11 @@ class Workspace:
 
     @cached_property
     def labelled_pairs(self) -> DataFrame:
-        return self._labelled(self.pairs)
+        return self.labelled(self.pairs)
 
     @cached_property
     def labelled_open(self) -> DataFrame:
-        return self._labelled(self.open_messages)
+        return self.labelled(self.stored_open)
 
     @staticmethod
     def rule_predictions(messages: DataFrame) -> DataFrame:
@@ -74,19 +83,21 @@ class Workspace:
 
     @cached_property
     def index(self) -> retrieval.CaseIndex:
-        return retrieval.build_index(self.pairs, exclude=self.open_messages)
+        """Index of all answered cases, built once and read from files."""
+        index = retrieval.build_index(self.stored_pairs, exclude=self.stored_open)
+        return index.stored()
 
     @cached_property
     def similar(self) -> DataFrame:
-        return retrieval.similar_cases(self.open_messages, self.index)
+        return retrieval.similar_cases(self.stored_open, self.index)
 
     @cached_property
     def answered(self) -> DataFrame:
         """Open messages answered by the agent with rule predictions."""
-        predictions = self.rule_predictions(self.open_messages).select(
+        predictions = self.rule_predictions(self.stored_open).select(
             "customer_tweet_id", "predicted_intent",
             F.col("prediction_confidence").alias("confidence"))
-        return agent.answer(self.open_messages, predictions, self.index)
+        return agent.answer(self.stored_open, predictions, self.index)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -97,5 +108,6 @@ class Workspace:
     @cached_property
     def model(self) -> classifier.IntentModel:
         """Intent model trained on the rule labels of all pairs outside the sample."""
-        train = classifier.silver_train(self.pairs, self.golden)
+        golden = sampling.golden_set(self.stored_pairs, GOLDEN_SIZE)
+        train = materialize(classifier.silver_train(self.stored_pairs, golden), "silver-train")
         return classifier.train_classifier(train, run_folder(self.spark, "vocabulary"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are tuned for; everything else stays with the cluster's defaults.
 SETTINGS = {
@@ -48,6 +48,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The table written once below the shared folder and read back.
+
+    Steps that read a costly plan several times start from files, which also survive
+    the loss of executors.
+    """
+    folder = run_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """Path of a new folder for one run below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
