@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from casedesk.functions import lexicons as lex
 from casedesk.functions import text as tx
+from casedesk.functions.rules import with_silver_intent
+from casedesk.functions.staging import staged
 from casedesk.operators import tfidf
+from casedesk.operators.sampling import without
+from casedesk.session import materialize
 
 ID = "customer_tweet_id"
 
@@ -22,9 +26,6 @@ def known_labels(df: DataFrame) -> DataFrame:
 
 def silver_train(pairs: DataFrame, golden: DataFrame | None = None, match: str = "substring") -> DataFrame:
     """Rule-labelled training rows: no golden ids, no messages under five characters."""
-    from casedesk.functions.rules import with_silver_intent
-    from casedesk.operators.sampling import without
-
     kept = pairs if golden is None else without(pairs, golden)
     long_enough = F.length(tx.strip(F.col("customer_message"))) >= 5
     return with_silver_intent(kept.filter(long_enough), match=match).select(
@@ -53,16 +54,28 @@ def model_text(context_mode: str = "template"):
     return tx.template_context(context, message)
 
 
-def _features(df: DataFrame, vocab: DataFrame, size: int, context_mode: str) -> DataFrame:
-    """Id and ``features``; a message without known terms gets the zero vector."""
-    vectors, _ = tfidf.classifier_features(df, ID, model_text(context_mode), vocab)
-    terms = tfidf.postings(vectors, ID).join(vocab.select("term", "position"), "term")
-    packed = terms.groupBy(ID).agg(F.array_sort(F.collect_list(
-        F.struct("position", "weight"))).alias("entries"))
-    entries = F.coalesce("entries", F.array().cast("array<struct<position:int,weight:double>>"))
-    return df.select(ID).join(packed, ID, "left").select(
-        ID, _sparse(F.lit(size), F.transform(entries, lambda e: e["position"]),
-                    F.transform(entries, lambda e: e["weight"])).alias("features"))
+def counted_terms(messages: DataFrame, context_mode: str = "template") -> DataFrame:
+    """Id and term counts of the text the classifier reads."""
+    return tfidf.with_term_counts(
+        messages.select(ID, model_text(context_mode).alias("_text")), F.col("_text")).drop("_text")
+
+
+def training_vectors(train: DataFrame) -> DataFrame:
+    """Unit vectors of the training messages: damped term frequency times idf."""
+    counted = counted_terms(train)
+    return tfidf.unit_vectors(counted, tfidf.classifier_vocabulary(counted), ID, sublinear=True)
+
+
+def _with_features(messages: DataFrame, counted: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
+    """The messages with ``features``; without known terms they get the zero vector."""
+    vectors = tfidf.unit_vectors(counted, vocab, ID, sublinear=True, key="position")
+    entries = F.coalesce(
+        F.sort_array("vector"), F.array().cast("array<struct<position:int,weight:double>>"))
+    joined = staged(messages.join(vectors, ID, "left"), _entries=entries)
+    features = _sparse(
+        F.lit(size), F.transform("_entries", lambda e: e["position"]),
+        F.transform("_entries", lambda e: e["weight"]))
+    return joined.withColumn("features", features).drop("vector", "_entries")
 
 
 @dataclass
@@ -74,8 +87,9 @@ class IntentModel:
 
     def predict(self, messages: DataFrame, context_mode: str = "template") -> DataFrame:
         """Messages with ``predicted_intent``, ``prediction_confidence`` and all probabilities."""
-        features = _features(messages, self.vocab, self.regression.numFeatures, context_mode)
-        scored = self.regression.transform(features)
+        size = self.regression.numFeatures
+        scored = self.regression.transform(_with_features(
+            messages.select(ID), counted_terms(messages, context_mode), self.vocab, size))
         names = F.array(*[F.lit(i) for i in lex.INTENTS])
         labels = scored.select(
             ID, F.get(names, F.col("prediction").cast("int")).alias("predicted_intent"),
@@ -95,7 +109,8 @@ class IntentModel:
 
 
 def train_classifier(
-    train: DataFrame, folder: str, max_features: int = 1 << 20, max_iter: int = 100,
+    train: DataFrame, folder: str, max_features: int = 1 << 20, max_iter: int = 2000,
+    tol: float = 1e-4,
 ) -> IntentModel:
     """Fits the classifier on labelled messages.
 
@@ -106,22 +121,25 @@ def train_classifier(
     """
     spark = train.sparkSession
     labelled = known_labels(train)
-    _, fitted = tfidf.classifier_features(labelled, ID, model_text())
-    bounded = fitted.orderBy(F.desc("df"), "term").limit(max_features)
-    positions = F.row_number().over(W.orderBy(F.desc("df"), "term")) - 1
-    bounded.withColumn("position", positions.cast("int")).write.mode("overwrite").parquet(folder)
+    counted = materialize(counted_terms(labelled), "training-terms")
+    by_df = tfidf.classifier_vocabulary(counted).orderBy(F.desc("df"), "term").limit(max_features)
+    position = F.row_number().over(W.orderBy(F.desc("df"), "term")) - 1
+    by_df.withColumn("position", position.cast("int")).write.mode("overwrite").parquet(folder)
     vocab = spark.read.parquet(folder)
     size = vocab.count()
 
-    labels = F.array_position(F.array(*[F.lit(i) for i in lex.INTENTS]), F.col("intent")) - 1
+    label = F.array_position(F.array(*[F.lit(i) for i in lex.INTENTS]), F.col("intent")) - 1
     weights = class_weights(labelled).select("intent", "weight")
-    rows = (
-        labelled.select(ID, "intent").join(weights, "intent")
-        .join(_features(labelled, vocab, size, "template"), ID)
-        .select(labels.cast("double").alias("label"), "weight", "features")
-    )
-    n = labelled.count()
-    regression = LogisticRegression(
-        family="multinomial", weightCol="weight", maxIter=max_iter, elasticNetParam=0.0,
-        regParam=1.0 / max(n, 1), standardization=False)
-    return IntentModel(regression.fit(rows.persist()), vocab)
+    weighted = labelled.select(ID, "intent").join(F.broadcast(weights), "intent")
+    rows = _with_features(weighted, counted, vocab, size).select(
+        label.cast("double").alias("label"), "weight", "features").persist()
+    try:
+        n = rows.count()
+        if n == 0:
+            raise ValueError("no labelled rows to train on")
+        regression = LogisticRegression(
+            family="multinomial", weightCol="weight", maxIter=max_iter, tol=tol, elasticNetParam=0.0,
+            regParam=1.0 / n, standardization=False)
+        return IntentModel(regression.fit(rows), vocab)
+    finally:
+        rows.unpersist()

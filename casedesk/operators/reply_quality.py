@@ -8,7 +8,7 @@ from casedesk.functions import lexicons as lex
 from casedesk.functions import text as tx
 from casedesk.functions.rules import flags
 from casedesk.functions.staging import staged
-from casedesk.operators.text_similarity import with_pair_cosine
+from casedesk.operators.text_similarity import pair_cosine
 
 # Weights of the grounding score.
 ACTION_WEIGHTS = {
@@ -44,18 +44,13 @@ def with_reply_flags(replies: DataFrame, column: str = "generated_reply") -> Dat
 
 
 def reply_similarity(drafts: DataFrame) -> DataFrame:
-    """Per drafted reply and case: cosine with the historical reply.
-
-    Drafts repeat a few templates, so many rows hold the same two texts; scoring is
-    row-local all the same, which is cheaper than bringing equal pairs together.
-    """
+    """Per drafted reply and case: cosine with the historical reply."""
     pairs = drafts.select(
         "customer_tweet_id", "generated_reply", F.explode("evidence").alias("case"))
     flat = pairs.select(
         "customer_tweet_id", "generated_reply",
         F.col("case.customer_tweet_id").alias("case_id"), F.col("case.brand_reply").alias("brand_reply"))
-    return with_pair_cosine(flat, "generated_reply", "brand_reply").select(
-        "customer_tweet_id", "case_id", "similarity")
+    return pair_cosine(flat, ["customer_tweet_id", "case_id"], "generated_reply", "brand_reply")
 
 
 def grounding_score(similarity: Column) -> Column:

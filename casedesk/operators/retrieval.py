@@ -25,12 +25,6 @@ class CaseIndex:
     vocab: DataFrame     # term, df, cf, idf
     vectors: DataFrame   # rep_id, vector
 
-    def stored(self) -> "CaseIndex":
-        """The index as files: built once, read by every retrieval."""
-        cases = materialize(self.cases, "index-cases")
-        vocab = materialize(self.vocab, "index-vocabulary")
-        return CaseIndex(cases, vocab, materialize(self.vectors, "index-vectors"))
-
 
 def with_search_text(messages: DataFrame) -> DataFrame:
     """Adds the text that is compared, and a short key that stands for it in joins."""
@@ -50,18 +44,26 @@ def _distinct_texts(docs: DataFrame, id_column: str) -> DataFrame:
 
 def build_index(
     pairs: DataFrame, exclude: DataFrame | None = None, stop_words=tx.STOP_WORDS,
-    max_features: int = MAX_FEATURES,
+    max_features: int = MAX_FEATURES, store: bool = False,
 ) -> CaseIndex:
-    """Index over answered cases; ids in ``exclude`` stay out of it."""
+    """Index over answered cases; ids in ``exclude`` stay out of it.
+
+    With ``store`` every part is written as it is built and read back, so that later
+    parts and all retrievals start from files. Term counts are made anew for the
+    vectors: counting again is cheaper than keeping all postings twice.
+    """
+    def part(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, f"index-{name}") if store else df
+
     if exclude is not None:
         pairs = pairs.join(exclude.select("customer_tweet_id"), "customer_tweet_id", "left_anti")
-    cases = with_search_text(pairs).withColumnRenamed("customer_tweet_id", "case_id")
+    cases = part(with_search_text(pairs).withColumnRenamed("customer_tweet_id", "case_id"), "cases")
     counted = tfidf.with_term_counts(
         _distinct_texts(cases, "case_id"), F.col("search_text"), stop_words)
-    vocab = tfidf.vocabulary(
+    vocab = part(tfidf.vocabulary(
         tfidf.term_stats(counted, F.col("copies")), tfidf.count_docs(cases),
-        max_features=max_features)
-    return CaseIndex(cases, vocab, tfidf.unit_vectors(counted, vocab, "rep_id"))
+        max_features=max_features), "vocabulary")
+    return CaseIndex(cases, vocab, part(tfidf.unit_vectors(counted, vocab, "rep_id"), "vectors"))
 
 
 def index_postings(index: CaseIndex) -> DataFrame:

@@ -13,54 +13,29 @@ from casedesk.functions.staging import staged
 SINGLE_IDF = math.log(1.5) + 1
 
 
-def _close_term(state: Column) -> Column:
-    """Adds the term just counted to the three sums."""
-    shared = (state["a"] > 0) & (state["b"] > 0)
-    idf = F.when(shared, F.lit(1.0)).otherwise(F.lit(SINGLE_IDF))
-    return F.struct(
-        (state["dot"] + state["a"] * state["b"]).alias("dot"),
-        (state["na"] + (state["a"] * idf) * (state["a"] * idf)).alias("na"),
-        (state["nb"] + (state["b"] * idf) * (state["b"] * idf)).alias("nb"))
+def _entries(words: str, left: float, right: float) -> Column:
+    return F.transform(tx.with_bigrams(F.col(words)), lambda t: F.struct(
+        t.alias("term"), F.lit(left).alias("a"), F.lit(right).alias("b")))
 
 
-def _next_entry(state: Column, entry: Column) -> Column:
-    in_a = F.when(entry["side"] == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    in_b = F.lit(1.0) - in_a
-    closed = _close_term(state)
-    same = state["term"] == entry["term"]
+def pair_cosine(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """``similarity`` of two text columns over words and word pairs, per row.
 
-    def pick(if_same, if_new):
-        return F.when(same, if_same).otherwise(if_new)
-
-    return F.struct(
-        entry["term"].alias("term"),
-        pick(state["a"] + in_a, in_a).alias("a"),
-        pick(state["b"] + in_b, in_b).alias("b"),
-        pick(state["dot"], closed["dot"]).alias("dot"),
-        pick(state["na"], closed["na"]).alias("na"),
-        pick(state["nb"], closed["nb"]).alias("nb"))
-
-
-def _cosine(state: Column) -> Column:
-    total = _close_term(state)
-    return F.when(
-        (total["na"] > 0) & (total["nb"] > 0),
-        total["dot"] / F.sqrt(total["na"] * total["nb"])).otherwise(F.lit(0.0))
-
-
-def with_pair_cosine(df: DataFrame, left: str, right: str, out: str = "similarity") -> DataFrame:
-    """Adds the cosine of two text columns over words and word pairs.
-
-    The terms of both texts are sorted together and read once, term by term, so every
-    row is scored where it is, without a shuffle. Texts without words score 0.
+    ``keys`` name the row. Only the texts are shuffled, once and by key; a row's terms
+    are then counted and summed in the task that holds it. Rows without words score 0.
     """
-    def entries(words: str, side: int) -> Column:
-        return F.transform(tx.with_bigrams(F.col(words)), lambda t: F.struct(
-            t.alias("term"), F.lit(side).alias("side")))
-
-    start = F.struct(
-        F.lit("").alias("term"), *[F.lit(0.0).alias(n) for n in ("a", "b", "dot", "na", "nb")])
-    words = staged(df, _left=tx.tokens(F.col(left)), _right=tx.tokens(F.col(right)))
-    merged = F.sort_array(F.concat(entries("_left", 0), entries("_right", 1)))
-    return staged(words, **{out: F.aggregate(merged, start, _next_entry, _cosine)}).drop(
-        "_left", "_right")
+    spread = pairs.select(*keys, left, right).repartition(*keys)
+    words = staged(spread, _left=tx.tokens(F.col(left)), _right=tx.tokens(F.col(right)))
+    both = staged(words, _terms=F.concat(_entries("_left", 1.0, 0.0), _entries("_right", 0.0, 1.0)))
+    counts = both.select(*keys, F.inline_outer("_terms")).groupBy(*keys, "term").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"))
+    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    idf = F.when((a > 0) & (b > 0), 1.0).otherwise(SINGLE_IDF)
+    sums = counts.select(*keys, a.alias("a"), b.alias("b"), idf.alias("idf")).groupBy(*keys).agg(
+        F.sum(F.col("a") * F.col("b")).alias("dot"),
+        F.sum(F.pow(F.col("a") * F.col("idf"), F.lit(2))).alias("na"),
+        F.sum(F.pow(F.col("b") * F.col("idf"), F.lit(2))).alias("nb"))
+    cosine = F.when(
+        (F.col("na") > 0) & (F.col("nb") > 0),
+        F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).otherwise(0.0)
+    return sums.select(*keys, cosine.alias("similarity"))

@@ -54,21 +54,26 @@ def vocabulary(
     return kept.select("term", "df", "cf", idf.alias("idf"))
 
 
-def unit_vectors(counted: DataFrame, vocab: DataFrame, id_column: str, sublinear: bool = False) -> DataFrame:
+def unit_vectors(
+    counted: DataFrame, vocab: DataFrame, id_column: str, sublinear: bool = False,
+    key: str = "term",
+) -> DataFrame:
     """One row per document: ``vector``, an array of (term, weight) of length one.
 
+    ``key`` names the vocabulary column that stands for the term in the vector.
+
     The vocabulary is as small as its parameters make it, so Spark decides by size
     whether it is broadcast; a document is put together again in one task.
     """
     tf = F.log("tf") + 1 if sublinear else F.col("tf").cast("double")
     weighted = counted.select(id_column, F.inline("terms")).join(
-        vocab.select("term", "idf"), "term").select(
-        id_column, "term", (tf * F.col("idf")).alias("weight"))
+        vocab.select("term", "idf", F.col(key).alias("_key")), "term").select(
+        id_column, F.col("_key").alias(key), (tf * F.col("idf")).alias("weight"))
     packed = weighted.groupBy(id_column).agg(
-        F.collect_list(F.struct("term", "weight")).alias("raw"),
+        F.collect_list(F.struct(key, "weight")).alias("raw"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return packed.select(id_column, F.transform("raw", lambda x: F.struct(
-        x["term"].alias("term"), (x["weight"] / F.col("norm")).alias("weight"))).alias("vector"))
+        x[key].alias(key), (x["weight"] / F.col("norm")).alias("weight"))).alias("vector"))
 
 
 def postings(vectors: DataFrame, id_column: str) -> DataFrame:
@@ -80,13 +85,6 @@ def count_docs(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*"))
 
 
-def classifier_features(docs: DataFrame, id_column: str, text: Column, vocab: DataFrame | None = None):
-    """Vectors and vocabulary of the intent classifier.
-
-    Words and word pairs in at least two and at most 95% of the documents, with damped
-    term frequency. A given vocabulary is applied, otherwise one is fitted.
-    """
-    counted = with_term_counts(docs.select(id_column, text.alias("_text")), F.col("_text"))
-    if vocab is None:
-        vocab = vocabulary(term_stats(counted), count_docs(docs), min_df=2, max_df=0.95)
-    return unit_vectors(counted, vocab, id_column, sublinear=True), vocab
+def classifier_vocabulary(counted: DataFrame) -> DataFrame:
+    """Words and word pairs in at least two and at most 95% of the documents."""
+    return vocabulary(term_stats(counted), count_docs(counted), min_df=2, max_df=0.95)

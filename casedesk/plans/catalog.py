@@ -65,8 +65,7 @@ def _escalation_decisions(w: Workspace) -> DataFrame:
 
 def _tfidf_features(w: Workspace) -> DataFrame:
     train = classifier.silver_train(w.pairs, w.golden)
-    vectors, _ = tfidf.classifier_features(train, ID, classifier.model_text())
-    return _rounded(tfidf.postings(vectors, ID), "weight")
+    return _rounded(tfidf.postings(classifier.training_vectors(train), ID), "weight")
 
 
 def _evidence(w: Workspace) -> DataFrame:
@@ -128,7 +127,7 @@ def _intent_model_eval(w: Workspace) -> DataFrame:
     """Report of the trained model on the evaluation sample, which it has not seen."""
     sample = w.labelled(sampling.golden_set(w.stored_pairs, GOLDEN_SIZE).select(
         ID, "previous_context", "customer_message"))
-    predicted = w.model.predict(sample, "merged").drop("probabilities")
+    predicted = w.evaluated_model.predict(sample, "merged").drop("probabilities")
     return evaluation.intent_report(predicted)
 
 
@@ -173,7 +172,8 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "theme_counts": lambda w: profile.theme_counts(w.pairs),
     "theme_examples": lambda w: profile.theme_examples(w.pairs),
     # retrieval and replies
-    "term_stats": lambda w: _rounded(w.index.vocab, "idf"),
+    "term_stats": lambda w: _rounded(
+        retrieval.build_index(w.stored_pairs, exclude=w.stored_open).vocab, "idf"),
     "tfidf_features": _tfidf_features,
     "case_index": lambda w: _rounded(retrieval.index_postings(w.index), "weight"),
     "similar_cases": lambda w: w.similar,

@@ -84,8 +84,7 @@ class Workspace:
     @cached_property
     def index(self) -> retrieval.CaseIndex:
         """Index of all answered cases, built once and read from files."""
-        index = retrieval.build_index(self.stored_pairs, exclude=self.stored_open)
-        return index.stored()
+        return retrieval.build_index(self.stored_pairs, exclude=self.stored_open, store=True)
 
     @cached_property
     def similar(self) -> DataFrame:
@@ -97,7 +96,7 @@ class Workspace:
         predictions = self.rule_predictions(self.stored_open).select(
             "customer_tweet_id", "predicted_intent",
             F.col("prediction_confidence").alias("confidence"))
-        return agent.answer(self.stored_open, predictions, self.index)
+        return materialize(agent.answer(self.stored_open, predictions, self.index), "answered")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -105,9 +104,16 @@ class Workspace:
         return reply_quality.grounding_scores(
             agent.reply_evaluation(self.answered, self.labelled_open))
 
-    @cached_property
-    def model(self) -> classifier.IntentModel:
-        """Intent model trained on the rule labels of all pairs outside the sample."""
-        golden = sampling.golden_set(self.stored_pairs, GOLDEN_SIZE)
+    def _trained(self, golden: DataFrame | None) -> classifier.IntentModel:
         train = materialize(classifier.silver_train(self.stored_pairs, golden), "silver-train")
         return classifier.train_classifier(train, run_folder(self.spark, "vocabulary"))
+
+    @cached_property
+    def model(self) -> classifier.IntentModel:
+        """Model for open messages, trained on the rule labels of all pairs."""
+        return self._trained(None)
+
+    @cached_property
+    def evaluated_model(self) -> classifier.IntentModel:
+        """Model trained on the pairs outside the evaluation sample."""
+        return self._trained(sampling.golden_set(self.stored_pairs, GOLDEN_SIZE))
