@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from casedesk.functions import text as tx
+from casedesk.functions.staging import spread
 from casedesk.operators import tfidf
 from casedesk.session import materialize
 
@@ -92,8 +93,7 @@ def _block_top_k(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     case are summed in the task that holds the case; before the next shuffle every
     task cuts its list to k per query. No pair of query and case crosses the network.
     """
-    spread = vectors.repartition("rep_id")
-    shared = tfidf.postings(spread, "rep_id").join(
+    shared = tfidf.postings(spread(vectors, "rep_id"), "rep_id").join(
         F.broadcast(block.withColumnRenamed("weight", "query_weight")), "term")
     scores = shared.groupBy("rep_id", "query_rep").agg(
         F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("similarity"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casedesk.functions import text as tx
-from casedesk.functions.staging import staged
+from casedesk.functions.staging import spread, staged
 
 # With two documents a shared term has idf 1 and any other ln(3/2) + 1.
 SINGLE_IDF = math.log(1.5) + 1
@@ -24,8 +24,8 @@ def pair_cosine(pairs: DataFrame, keys: list[str], left: str, right: str) -> Dat
     ``keys`` name the row. Only the texts are shuffled, once and by key; a row's terms
     are then counted and summed in the task that holds it. Rows without words score 0.
     """
-    spread = pairs.select(*keys, left, right).repartition(*keys)
-    words = staged(spread, _left=tx.tokens(F.col(left)), _right=tx.tokens(F.col(right)))
+    rows = spread(pairs.select(*keys, left, right), *keys)
+    words = staged(rows, _left=tx.tokens(F.col(left)), _right=tx.tokens(F.col(right)))
     both = staged(words, _terms=F.concat(_entries("_left", 1.0, 0.0), _entries("_right", 0.0, 1.0)))
     counts = both.select(*keys, F.inline_outer("_terms")).groupBy(*keys, "term").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b"))
