@@ -1,0 +1,88 @@
+"""Scores of a block of queries inside one task, on Arrow batches of case vectors."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+
+# Scores held at a time: cases of one step times queries of the block.
+STEP_CELLS = 2_000_000
+# Products added up at a time.
+STEP_PRODUCTS = 8_000_000
+# Similarities are compared after rounding to this many parts of one.
+PARTS = 1_000_000
+
+
+class BlockScorer:
+    """Query vectors by term, and the k best cases per query over a stream of cases."""
+
+    def __init__(self, postings: pd.DataFrame, k: int):
+        self.k = k
+        self.queries, query = np.unique(postings["query_rep"].to_numpy(), return_inverse=True)
+        codes, terms = pd.factorize(postings["term"])
+        order = np.argsort(codes, kind="stable")
+        self.terms = np.asarray(terms, dtype=object)
+        self.query = query[order]
+        self.weight = postings["weight"].to_numpy(dtype=float)[order]
+        self.start = np.searchsorted(codes[order], np.arange(len(terms) + 1))
+
+    def best(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One batch with the k best cases per query; equal scores go to smaller ids."""
+        empty = np.empty(0, dtype=np.int64)
+        kept = (empty, empty, empty)
+        bar = np.ones(len(self.queries), dtype=np.int64)
+        index = pd.Index(self.terms)
+        if len(self.queries):
+            for batch in batches:
+                for found in self._steps(batch, index, bar):
+                    kept = self._merge(kept, found, bar)
+        query, case, parts = kept
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(self.queries[query], pa.int64()), pa.array(case, pa.int64()),
+             pa.array(parts / PARTS, pa.float64())],
+            names=["query_rep", "rep_id", "similarity"])
+
+    def _steps(self, batch, index, bar):
+        """(query, case, score) of all scores that reach the bar of their query."""
+        ids = batch.column("rep_id").to_numpy(zero_copy_only=False)
+        lists, values = batch.column("terms"), batch.column("weights")
+        row = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        code = index.get_indexer(lists.flatten().to_pandas())
+        known = code >= 0
+        row, code = row[known], code[known]
+        weight = values.flatten().to_numpy(zero_copy_only=False)[known]
+        hits = self.start[code + 1] - self.start[code]
+        per_case = np.bincount(row, weights=hits, minlength=len(ids))
+        width = len(self.queries)
+        most = max(1, STEP_CELLS // width)
+        first = 0
+        while first < len(ids):
+            room = np.searchsorted(np.cumsum(per_case[first:first + most]), STEP_PRODUCTS, "right")
+            last = min(first + max(1, int(room)), len(ids))
+            lo, hi = np.searchsorted(row, [first, last])
+            count = hits[lo:hi]
+            ends = np.cumsum(count)
+            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
+            posting = np.repeat(self.start[code[lo:hi]], count) + place
+            cell = np.repeat(row[lo:hi] - first, count) * width + self.query[posting]
+            products = np.repeat(weight[lo:hi], count) * self.weight[posting]
+            scores = np.bincount(cell, weights=products, minlength=(last - first) * width)
+            parts = np.floor(scores * PARTS + 0.5).astype(np.int64).reshape(last - first, width)
+            case, query = np.nonzero(parts >= bar)
+            yield query, ids[first + case], parts[case, query]
+            first = last
+
+    def _merge(self, kept, found, bar):
+        """The k best of both; raises the bar of queries that have k cases."""
+        query, case, parts = (np.concatenate(pair) for pair in zip(kept, found))
+        order = np.lexsort((case, -parts, query))
+        query, case, parts = query[order], case[order], parts[order]
+        starts = np.searchsorted(query, np.arange(len(self.queries)))
+        place = np.arange(len(query)) - starts[query]
+        full = place == self.k - 1
+        bar[query[full]] = parts[full]
+        best = place < self.k
+        return query[best], case[best], parts[best]

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from casedesk.functions import text as tx
 from casedesk.functions.staging import spread
+from casedesk.operators.block_scores import BlockScorer
 from casedesk.operators import tfidf
 from casedesk.session import materialize
 
 MAX_FEATURES = 50_000
-# Query text that one broadcast block may hold; its postings stay well below 100 MB.
+# Query text that one block may hold; its postings stay well below 100 MB.
 BLOCK_CHARS = 4_000_000
 
 
@@ -64,7 +65,8 @@ def build_index(
     vocab = part(tfidf.vocabulary(
         tfidf.term_stats(counted, F.col("copies")), tfidf.count_docs(cases),
         max_features=max_features), "vocabulary")
-    return CaseIndex(cases, vocab, part(tfidf.unit_vectors(counted, vocab, "rep_id"), "vectors"))
+    vectors = spread(tfidf.unit_vectors(counted, vocab, "rep_id"), "rep_id")
+    return CaseIndex(cases, vocab, part(vectors, "vectors"))
 
 
 def index_postings(index: CaseIndex) -> DataFrame:
@@ -89,19 +91,22 @@ def _smallest_ids(cases: DataFrame, k: int) -> DataFrame:
 def _block_top_k(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Top k of one block of queries against the whole index.
 
-    The vectors are spread by case and the block is broadcast, so the products of a
-    case are summed in the task that holds the case; before the next shuffle every
-    task cuts its list to k per query. No pair of query and case crosses the network.
+    The block, small by construction, goes to every task; the index stays where it is
+    and is read once. A task adds up the scores of a few cases at a time and keeps k
+    cases per query, so neither pairs nor the index cross the network and memory does
+    not grow with the number of cases.
     """
-    shared = tfidf.postings(spread(vectors, "rep_id"), "rep_id").join(
-        F.broadcast(block.withColumnRenamed("weight", "query_weight")), "term")
-    scores = shared.groupBy("rep_id", "query_rep").agg(
-        F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("similarity"))
+    scorer = BlockScorer(block.select("query_rep", "term", "weight").toPandas(), k)
+    shared = block.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        yield from shared.value.best(batches)
+
+    cases = vectors.select(
+        "rep_id", F.col("vector.term").alias("terms"), F.col("vector.weight").alias("weights"))
+    found = cases.mapInArrow(run, "query_rep long, rep_id long, similarity double")
     best = W.partitionBy("query_rep").orderBy(F.desc("similarity"), "rep_id")
-    return (
-        scores.filter("similarity > 0")
-        .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    )
+    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
 def similar_cases(
@@ -112,7 +117,7 @@ def similar_cases(
 
     Similarities are rounded before ranking and ties go to the smaller case id. Only
     cases that share a term are returned. The text of all queries is measured first
-    and cut into blocks of at most ``block_chars`` on average, each broadcast alone.
+    and cut into blocks of about ``block_chars``, each sent to the index on its own.
     """
     asked = with_search_text(queries).select(
         F.col("customer_tweet_id").alias("query_id"), "text_key", "search_text")
