@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -18,6 +19,9 @@ from casedesk.operators.sampling import without
 from casedesk.session import materialize
 
 ID = "customer_tweet_id"
+# Every partition returns a gradient as large as the coefficients in each iteration, so
+# it should hold at least this many rows.
+ROWS_PER_GRADIENT = 10_000
 
 
 def known_labels(df: DataFrame) -> DataFrame:
@@ -140,6 +144,7 @@ def train_classifier(
         regression = LogisticRegression(
             family="multinomial", weightCol="weight", maxIter=max_iter, tol=tol, elasticNetParam=0.0,
             regParam=1.0 / n, standardization=False)
-        return IntentModel(regression.fit(rows), vocab)
+        parts = math.ceil(n / ROWS_PER_GRADIENT)
+        return IntentModel(regression.fit(rows.coalesce(parts)), vocab)
     finally:
         rows.unpersist()

@@ -37,10 +37,16 @@ def _customers(tweets: DataFrame) -> DataFrame:
 
 
 def _with_context(messages: DataFrame, tweets: DataFrame) -> DataFrame:
-    """Adds the text of the tweet a message answers, if there is one."""
+    """Adds the text of the tweet a message answers, if there is one.
+
+    Messages that answer nothing are many; they are spread by their own id instead of
+    meeting in the one partition of the null key, and the condition keeps them unmatched.
+    """
     context = tweets.select(
-        F.col("tweet_id").alias("previous_tweet_id"), F.col("text").alias("previous_context"))
-    return messages.join(context, "previous_tweet_id", "left")
+        F.col("tweet_id").alias("_context_id"), F.col("text").alias("previous_context"))
+    key = F.coalesce("previous_tweet_id", "customer_tweet_id")
+    match = (key == F.col("_context_id")) & F.col("previous_tweet_id").isNotNull()
+    return messages.join(context, match, "left")
 
 
 def reply_pairs(tweets: DataFrame, brand: str | None = None) -> DataFrame:
