@@ -74,11 +74,14 @@ def with_baseline_intent(df: DataFrame, out: str = "keyword_prediction") -> Data
     return with_label(df, out, text, lex.BASELINE_RULES)
 
 
-def with_silver_score(df: DataFrame, intent: str, out: str) -> DataFrame:
-    """The share-of-evidence score of a silver label, for use where no model is trained."""
-    text = tx.cleaned_context(F.col("previous_context"), F.col("customer_message"))
-    score = rule_score(F.col("_rule_text"), F.col(intent), lex.SILVER_RULES)
-    return staged(staged(df, _rule_text=text), **{out: score}).drop("_rule_text")
+def with_silver_prediction(df: DataFrame, intent: str, score: str) -> DataFrame:
+    """Silver label and its score of evidence, for use where no model is trained."""
+    cleaned = tx.cleaned_context(F.col("previous_context"), F.col("customer_message"))
+    text = F.col("_rule_text")
+    labelled = staged(
+        staged(df, _rule_text=cleaned), **{intent: first_label(text, lex.SILVER_RULES)})
+    return labelled.withColumn(
+        score, rule_score(text, F.col(intent), lex.SILVER_RULES)).drop("_rule_text")
 
 
 def intent_number(intent: Column) -> Column:
@@ -140,10 +143,12 @@ def with_proposed_labels(df: DataFrame) -> DataFrame:
     labelled = staged(
         staged(df, _full_text=full_text), auto_intent=first_label(text, lex.PROPOSAL_RULES))
     return (
-        staged(labelled, auto_escalate=proposed_escalation(text, intent),
-               confidence=proposal_confidence(text, intent))
-        .withColumns({
-            "auto_intent_number": intent_number(intent), "review_status": F.lit("REVIEW")})
+        labelled.withColumns({
+            "auto_intent_number": intent_number(intent),
+            "auto_escalate": proposed_escalation(text, intent),
+            "confidence": proposal_confidence(text, intent),
+            "review_status": F.lit("REVIEW"),
+        })
         .withColumn("auto_label_reason", label_reason(intent, F.col("auto_escalate")))
         .drop("_full_text")
     )

@@ -53,11 +53,16 @@ def evaluation_results(golden: DataFrame) -> DataFrame:
         "predicted_intent": F.coalesce("predicted_intent", F.lit(lex.OTHER)),
         "prediction_confidence": F.coalesce("prediction_confidence", F.lit(0.0)),
         "majority_prediction": majority_class(golden).select("majority_class").scalar(),
-        "actual_escalation": is_yes(F.col("escalate")),
     })
-    judged = with_escalation(
-        filled.drop("escalate"), "predicted_intent", "prediction_confidence")
-    return with_baseline_intent(judged).withColumnRenamed("escalate", "predicted_escalation")
+    return with_baseline_intent(with_both_escalations(filled))
+
+
+def with_both_escalations(predicted: DataFrame) -> DataFrame:
+    """Labelled and predicted escalation, the latter with its reason."""
+    actual = predicted.withColumn("actual_escalation", is_yes(F.col("escalate")))
+    return with_escalation(
+        actual.drop("escalate"), "predicted_intent", "prediction_confidence",
+    ).withColumnRenamed("escalate", "predicted_escalation")
 
 
 def accuracy_comparison(results: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def _reply_patterns(w: Workspace) -> DataFrame:
 
 
 def _evaluation_results(w: Workspace) -> DataFrame:
-    return _rounded(w.results, "prediction_confidence").select(
+    return _rounded(
+        evaluation.evaluation_results(w.predicted), "prediction_confidence").select(
         ID, "previous_context", "customer_message", "intent", "label_reason", "review_status",
         "predicted_intent", "prediction_confidence", "keyword_prediction",
         "majority_prediction", "actual_escalation", "predicted_escalation", "escalation_reason")
@@ -195,14 +196,16 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "evaluation_results": _evaluation_results,
     "label_status": lambda w: evaluation.label_status(w.labelled_pairs),
     "majority_baseline": lambda w: evaluation.majority_class(w.labelled_pairs),
-    "accuracy_comparison": lambda w: evaluation.accuracy_comparison(w.results),
-    "classification_report": lambda w: evaluation.intent_report(w.results),
+    "accuracy_comparison": lambda w: evaluation.accuracy_comparison(
+        rules.with_baseline_intent(w.predicted)),
+    "classification_report": lambda w: evaluation.intent_report(w.predicted),
     "confusion_matrix": lambda w: evaluation.confusion_matrix(
-        w.results, F.col("intent"), F.col("predicted_intent")),
-    "escalation_report": lambda w: evaluation.escalation_report(w.results),
-    "mistakes": lambda w: _rounded(evaluation.mistakes(w.results), "prediction_confidence"),
-    "confidence_stats": lambda w: evaluation.confidence_stats(w.results),
-    "confidence_coverage": lambda w: evaluation.confidence_coverage(w.results),
+        w.predicted, F.col("intent"), F.col("predicted_intent")),
+    "escalation_report": lambda w: evaluation.escalation_report(
+        evaluation.with_both_escalations(w.predicted)),
+    "mistakes": lambda w: _rounded(evaluation.mistakes(w.predicted), "prediction_confidence"),
+    "confidence_stats": lambda w: evaluation.confidence_stats(w.predicted),
+    "confidence_coverage": lambda w: evaluation.confidence_coverage(w.predicted),
     # classifier and agent
     "class_weights": lambda w: classifier.class_weights(
         classifier.silver_train(w.pairs, w.golden)),

@@ -73,13 +73,17 @@ class Workspace:
     @staticmethod
     def rule_predictions(messages: DataFrame) -> DataFrame:
         """Rule intent and score in the place of model predictions."""
-        labelled = rules.with_silver_intent(messages, "predicted_intent")
-        return rules.with_silver_score(labelled, "predicted_intent", "prediction_confidence")
+        return rules.with_silver_prediction(
+            messages, "predicted_intent", "prediction_confidence")
 
     @cached_property
-    def results(self) -> DataFrame:
-        """Evaluation rows of all pairs, predicted by the silver rules."""
-        return evaluation.evaluation_results(self.rule_predictions(self.labelled_pairs))
+    def predicted(self) -> DataFrame:
+        """Labelled pairs with the predictions of the silver rules.
+
+        Reports read this and not the full evaluation table, so that each computes only
+        what it shows.
+        """
+        return self.rule_predictions(self.labelled_pairs)
 
     @cached_property
     def index(self) -> retrieval.CaseIndex:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from casedesk import schemas
 from casedesk.functions.escalation import with_escalation
-from casedesk.functions.rules import with_silver_intent, with_silver_score
+from casedesk.functions.rules import with_silver_prediction
 from casedesk.operators import judging, replies, retrieval
 from casedesk.sources.files import read_optional
 from casedesk.sources.tables import tweets_from_conversations
@@ -20,7 +20,7 @@ def triage(tweets: DataFrame) -> DataFrame:
     messages = tweets.filter("inbound and text is not null").select(
         F.col("tweet_id").alias("customer_tweet_id"), F.lit("").alias("previous_context"),
         F.col("text").alias("customer_message"))
-    labelled = with_silver_score(with_silver_intent(messages), "intent", "confidence")
+    labelled = with_silver_prediction(messages, "intent", "confidence")
     return with_escalation(labelled).select(
         "customer_tweet_id", "intent", F.round("confidence", 6).alias("confidence"),
         "escalate", "escalation_rule")

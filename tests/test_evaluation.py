@@ -29,7 +29,7 @@ def test_report_keeps_fixed_labels(spark):
 
 def test_results_invariants(spark, small_dir):
     w = Workspace(spark, small_dir)
-    results = w.results.persist()
+    results = evaluation.evaluation_results(w.predicted).persist()
     n = results.count()
     assert evaluation.confusion_matrix(results, F.col("intent"), F.col("predicted_intent")).agg(
         F.sum("n")).first()[0] == n
