@@ -117,7 +117,3 @@ def judge_summary(judged: DataFrame) -> DataFrame:
         F.count("*").alias("n_judged"), F.round(F.avg("score"), 6).alias("mean_overall"),
         F.round(F.avg((F.col("score") >= 4).cast("double")), 6).alias("share_high"))
 
-
-def score_means(judged: DataFrame) -> DataFrame:
-    return judged.agg(F.count("*").alias("n"), *[
-        F.round(F.avg(c), 6).alias(c) for c in JUDGE_SCORES])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -12,11 +11,13 @@ from casedesk.functions import text as tx
 from casedesk.functions.staging import spread
 from casedesk.operators.block_scores import BlockScorer
 from casedesk.operators import tfidf
-from casedesk.session import materialize
+from casedesk.session import materialize, run_folder
 
 MAX_FEATURES = 50_000
 # Query text that one block may hold; its postings stay well below 100 MB.
 BLOCK_CHARS = 4_000_000
+# Rows of ids and numbers that may be broadcast: some 50 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass
@@ -79,17 +80,29 @@ def index_postings(index: CaseIndex) -> DataFrame:
     )
 
 
-def _smallest_ids(cases: DataFrame, k: int) -> DataFrame:
-    """The ``k`` smallest case ids of every text: no other copy can reach a top k."""
-    same = W.partitionBy("text_key").orderBy("case_id")
-    ranked = cases.select("text_key", "case_id").withColumn(
-        "copy", F.row_number().over(same)).filter(F.col("copy") <= k)
-    rep = F.min("case_id").over(W.partitionBy("text_key"))
-    return ranked.select(rep.alias("rep_id"), "case_id")
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """The table marked for broadcast if its measured number of rows allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _block_top_k(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Top k of one block of queries against the whole index.
+def _copies(cases: DataFrame, found: DataFrame, rows: int, k: int) -> DataFrame:
+    """The ``k`` smallest case ids with the text of each found case.
+
+    No other copy can reach a top k. Only found cases are looked up: the index is
+    scanned, and shuffled just where too many cases were found to broadcast them.
+    """
+    reps = _small(found.select("rep_id").distinct(), rows)
+    keyed = cases.select(F.col("case_id").alias("rep_id"), "text_key").join(reps, "rep_id")
+    same = W.partitionBy("rep_id").orderBy("case_id")
+    return (
+        cases.select("text_key", "case_id").join(_small(keyed, rows), "text_key")
+        .withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k)
+        .select("rep_id", "case_id")
+    )
+
+
+def _write_block(block: DataFrame, vectors: DataFrame, k: int, folder: str) -> None:
+    """Appends the top k of one block of queries against the whole index.
 
     The block, small by construction, goes to every task; the index stays where it is
     and is read once. A task adds up the scores of a few cases at a time and keeps k
@@ -106,7 +119,9 @@ def _block_top_k(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         "rep_id", F.col("vector.term").alias("terms"), F.col("vector.weight").alias("weights"))
     found = cases.mapInArrow(run, "query_rep long, rep_id long, similarity double")
     best = W.partitionBy("query_rep").orderBy(F.desc("similarity"), "rep_id")
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    ranked = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    ranked.drop("place").write.mode("append").parquet(folder)
+    shared.destroy()
 
 
 def similar_cases(
@@ -117,7 +132,9 @@ def similar_cases(
 
     Similarities are rounded before ranking and ties go to the smaller case id. Only
     cases that share a term are returned. The text of all queries is measured first
-    and cut into blocks of about ``block_chars``, each sent to the index on its own.
+    and cut into blocks of about ``block_chars``; one block after the other is sent to
+    the index and its result appended to a table, so that only one is held at a time.
+    The ranked table is returned as files.
     """
     asked = with_search_text(queries).select(
         F.col("customer_tweet_id").alias("query_id"), "text_key", "search_text")
@@ -131,25 +148,35 @@ def similar_cases(
     parts = [query_postings] if blocks == 1 else [
         query_postings.filter(F.pmod(F.xxhash64("query_rep"), F.lit(blocks)) == b)
         for b in range(blocks)]
-    found = reduce(DataFrame.unionByName, [_block_top_k(p, index.vectors, k) for p in parts])
+    spark = queries.sparkSession
+    folder = run_folder(spark, "block-results")
+    for part in parts:
+        _write_block(part, index.vectors, k, folder)
+    found = spark.read.parquet(folder)
+    rows = found.count()
 
     reps = texts.select("text_key", "query_rep")
     members = asked.select("query_id", "text_key").join(reps, "text_key")
     expanded = (
-        found.join(_smallest_ids(index.cases, k), "rep_id")
+        found.join(_copies(index.cases, found, rows, k), "rep_id")
         .select("query_rep", "case_id", "similarity")
         .withColumn("rank", F.row_number().over(
             W.partitionBy("query_rep").orderBy(F.desc("similarity"), "case_id")))
         .filter(F.col("rank") <= k)
     )
-    return members.join(expanded, "query_rep").select("query_id", "case_id", "similarity", "rank")
+    ranked = members.join(expanded, "query_rep").select(
+        "query_id", "case_id", "similarity", "rank")
+    return materialize(ranked, "similar-cases")
 
 
 def with_case_text(found: DataFrame, index: CaseIndex) -> DataFrame:
-    """The ranked table with message, context and reply of each case."""
+    """The ranked table with message, context and reply of each case.
+
+    A ranked table of measured small size goes to the cases instead of moving them.
+    """
     texts = index.cases.select(
         "case_id", "customer_message", "previous_context", "brand_reply", "brand_tweet_id")
-    return found.join(texts, "case_id")
+    return texts.join(_small(found, found.count()), "case_id")
 
 
 def evidence_lists(found: DataFrame) -> DataFrame:

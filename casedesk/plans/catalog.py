@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casedesk.functions import rules
 from casedesk.functions import text as tx
+from casedesk.functions.escalation import with_escalation
 from casedesk.operators import (
     agent, classifier, evaluation, judging, pairs, profile, replies, reply_quality, retrieval,
     review, sampling, tfidf)
 from casedesk.plans import fixtures
-from casedesk.plans.workspace import GOLDEN_SIZE, Workspace
+from casedesk.plans.workspace import GOLDEN_SIZE, PAIR_SAMPLE, Workspace
 from casedesk.session import run_folder
 from casedesk.sources.files import ensure_string_columns
 from casedesk.streaming import triage
@@ -54,8 +55,6 @@ def _auto_label(w: Workspace) -> DataFrame:
 
 
 def _escalation_decisions(w: Workspace) -> DataFrame:
-    from casedesk.functions.escalation import with_escalation
-
     messages = w.rule_predictions(w.pairs.select(ID, "previous_context", "customer_message"))
     return with_escalation(messages, "predicted_intent", "prediction_confidence").select(
         ID, F.col("predicted_intent").alias("intent"),
@@ -153,6 +152,7 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "answered_flags": lambda w: pairs.with_answered_flag(w.tweets).select(
         "tweet_id", "has_brand_response"),
     "open_messages": lambda w: w.open_messages,
+    "pair_sample": lambda w: sampling.exact_sample(w.pairs, PAIR_SAMPLE),
     "golden_set": lambda w: w.golden,
     "train_split": lambda w: w.train,
     # messages and labels

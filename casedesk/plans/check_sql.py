@@ -14,7 +14,7 @@ from casedesk.functions import rules
 from casedesk.functions import text as tx
 from casedesk.operators import evaluation, judging, reply_quality, retrieval
 from casedesk.plans.fixtures import JUDGED_FIELDS
-from casedesk.plans.workspace import GOLDEN_SIZE
+from casedesk.plans.workspace import GOLDEN_SIZE, PAIR_SAMPLE
 from casedesk.sources import tables
 
 SPACE = r"\s\x0b\x85\pZ"
@@ -505,6 +505,8 @@ def oracle_sql() -> dict[str, str]:
             "select 'pairs', count(*) from pairs", "select 'golden', count(*) from golden",
             "select 'train', count(*) from train",
             "select 'silver_train', count(*) from silver_train"]),
+        "pair_sample": "select * from pairs order by md5(cast(customer_tweet_id as varchar) || ':42'), "
+                       f"customer_tweet_id limit {PAIR_SAMPLE}",
         "golden_set": "select *, '' as intent, '' as escalate, '' as label_reason from golden",
         "train_split": "select * from train",
         "clean_messages": f"""select customer_tweet_id, {clean('previous_context')} as clean_context,

@@ -12,7 +12,8 @@ from casedesk.operators import (
 from casedesk.session import materialize, run_folder
 from casedesk.sources import tables
 
-# Rows of the evaluation sample drawn by the registered queries.
+# Sizes of the working sample and of the evaluation sample drawn by the registered queries.
+PAIR_SAMPLE = 10_000
 GOLDEN_SIZE = 60
 
 

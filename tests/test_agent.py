@@ -1,11 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casedesk import schemas
 from casedesk.functions import lexicons as lex
-from casedesk.operators import agent, classifier, replies, retrieval
+from casedesk.operators import agent, classifier, replies
 from casedesk.plans.workspace import Workspace
-from casedesk.sources import tables
 from casedesk.streaming import triage
 
 

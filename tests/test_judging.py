@@ -1,7 +1,5 @@
 import json
 
-import pytest
-
 from casedesk.operators import judging
 
 VERDICT = {"relevance": 4, "groundedness": 5, "helpfulness": 3, "brand_consistency": 5,
