@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,18 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int = 8, memory: str = "8g", app: str = "casedesk") -> SparkSession:
-    """Session for tests and benchmarks on one machine."""
+_FALLBACK: dict[str, str] = {}
+
+
+def local_session(cores: int = 8, memory: str = "8g", app: str = "casedesk",
+                  shared: str | None = None) -> SparkSession:
+    """Session for tests and benchmarks on one machine.
+
+    ``shared`` is the folder for stored stages; without it Spark's own defaults decide.
+    """
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in SETTINGS.items():
+    settings = SETTINGS | ({"spark.checkpoint.dir": shared} if shared else {})
+    for key, value in settings.items():
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.driver.memory", memory)
@@ -33,32 +42,54 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "casedesk") ->
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """Folder all executors can reach: the argument, else ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder.
+    A session on one machine without that setting gets a folder of its own, as its tasks
+    run where it does. On a cluster the setting is required.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = os.path.join(tempfile.gettempdir(), "casedesk-shared")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _FALLBACK:
+        _FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="casedesk-")
+    return _FALLBACK[context.applicationId]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """The table written once below the shared folder and read back.
 
     Steps that read a costly plan several times start from files, which also survive
     the loss of executors.
     """
-    folder = run_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    path = run_folder(df.sparkSession, name, folder)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_folder(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """Path of a new folder for one table of this run below the shared folder."""
+    root = f"{shared_folder(spark, folder)}/casedesk-{spark.sparkContext.applicationId}"
+    if root not in _USED:
+        _USED[root] = spark
+        atexit.register(_clear, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this run with all it holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_USED: dict[str, SparkSession] = {}
 
 
-def run_folder(spark: SparkSession, name: str) -> str:
-    """Path of a new folder for one run below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _clear(root: str) -> None:
+    """At the end of the program the stored stages of its session go."""
+    spark = _USED.pop(root)
+    if spark.sparkContext._jsc is not None:
+        remove(spark, root)

@@ -9,8 +9,9 @@ from casedesk.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, app="casedesk-tests")
+def spark(tmp_path_factory):
+    session = local_session(8, app="casedesk-tests",
+                            shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
