@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casedesk.llm import exact, mixing, packing, url_rules
+from casedesk.llm import exact, mixing, packing, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        F.col("record_id").alias("page_id"), "payload_bytes",
+        F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judged(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -39,13 +45,29 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_url_filter, op7_mix_sources, op8_exact_dedup, op10_best_fit_packing)
+    found = (op1_warc, op4_url_filter, op7_mix_sources, op8_exact_dedup, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op4_url_filter": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+
 
+OP1_SQL = r"""
+with rows as (
+  select page_id, encode(coalesce(html, '')) as payload from pages),
+hashed as (
+  select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest
+  from rows),
+owned as (
+  select *, min(page_id) over (partition by payload_digest) as first_id from hashed)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id is distinct from first_id then 'revisit'
+            else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id is distinct from first_id then first_id
+       end as refers_to
+from owned
+"""
 
 OP4_SQL = r"""
 with parts as (
