@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casedesk.llm import exact, mixing, packing, url_rules, warc
+from casedesk.llm import exact, mixing, packing, substrings, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judged(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -45,7 +49,7 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op4_url_filter, op7_mix_sources, op8_exact_dedup, op10_best_fit_packing)
+    found = (op1_warc, op3_substring_dedup, op4_url_filter, op7_mix_sources, op8_exact_dedup, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
