@@ -14,7 +14,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes worked on at a time
+PIECE = 1 << 16  # bytes worked on at a time: what their codes need stays in a core's cache
+HELD = 1 << 20  # bytes of texts coded together
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -41,6 +42,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache
+def _inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
 def _sums(values: np.ndarray, base: int) -> np.ndarray:
     """Running sums of value * base**position, with a leading zero."""
     out = np.zeros(len(values) + 1, np.uint64)
@@ -55,7 +61,7 @@ def _room(n: int) -> int:
 
 def _shifted(total: np.ndarray, start: np.ndarray, base: int, room: int) -> np.ndarray:
     """A sum that began at ``start`` as if it had begun at zero."""
-    return total * powers(pow(base, -1, 1 << 64), room)[start]
+    return total * powers(_inverse(base), room)[start]
 
 
 def _piece_codes(piece: np.ndarray) -> np.ndarray:
@@ -122,7 +128,7 @@ def coded_texts(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, by
     for i, raw in texts(column):
         held.append((i, raw))
         size += len(raw)
-        if size >= PIECE:
+        if size >= HELD:
             yield from _coded(held, lower)
             held, size = [], 0
     yield from _coded(held, lower)
@@ -139,6 +145,12 @@ def _coded(held: list[tuple[int, bytes]], lower: bool) -> Iterator[tuple[int, by
         yield i, raw, codes[cuts[k]:cuts[k + 1]]
 
 
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """The codes in order, each once."""
+    codes = np.sort(codes)
+    return codes[np.concatenate(([True], codes[1:] != codes[:-1]))] if len(codes) else codes
+
+
 def signed(codes: np.ndarray) -> pa.Array:
     """Codes as Spark longs."""
     return pa.array(codes.view(np.int64))
