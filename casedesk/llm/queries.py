@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casedesk.llm import exact, jaccard, mixing, packing, substrings, url_rules, warc
+from casedesk.llm import exact, jaccard, mixing, packing, substrings, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, index).drop("evidence")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +59,7 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op3_substring_dedup, op4_url_filter, op6_jaccard_join, op7_mix_sources, op8_exact_dedup, op10_best_fit_packing)
+    found = (op1_warc, op3_substring_dedup, op4_url_filter, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_exact_dedup, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 

@@ -64,36 +64,49 @@ def _shifted(total: np.ndarray, start: np.ndarray, base: int, room: int) -> np.n
     return total * powers(_inverse(base), room)[start]
 
 
-def _piece_codes(piece: np.ndarray) -> np.ndarray:
-    """Codes of the words of a buffer that begins and ends between words."""
+def _piece_codes(piece: np.ndarray, gap: np.ndarray, heads: tuple[int, ...],
+                 ) -> tuple[list[np.ndarray], np.ndarray]:
+    """Codes of the words (and of their heads) of a buffer that begins and ends between words."""
     inside = np.zeros(len(piece) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[piece]
+    inside[1:-1] = ~gap[piece]
     edges = np.diff(inside)
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    code = np.zeros(len(start), np.uint64)
-    wide = piece.astype(np.uint64) + np.uint64(1)
+    out = [np.zeros(len(start), np.uint64) for _ in range(1 + len(heads))]
+    wide, room = piece.astype(np.uint64) + np.uint64(1), _room(len(piece))
+    stops = [end] + [np.minimum(end, start + n) for n in heads]
     for base in _BASES:
         sums = _sums(wide, base)
-        code = mixed(code + _shifted(sums[end] - sums[start], start, base, _room(len(piece))))
-    return code, start
+        for i, stop in enumerate(stops):
+            out[i] = mixed(out[i] + _shifted(sums[stop] - sums[start], start, base, room))
+    return out, start
 
 
-def word_codes(buffer: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all words of a byte buffer and the offsets at which they start."""
-    codes, starts, at = [], [], 0
+def codes_in(buffer: np.ndarray, lower: bool = False, gap: np.ndarray = _SPACE,
+             heads: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+    """Codes of all words, then of their first n bytes for each of ``heads``; start offsets.
+
+    ``gap`` marks the bytes between words.
+    """
+    codes: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(1 + len(heads))]
+    starts, at = [np.zeros(0, np.int64)], 0
     while at < len(buffer):
         stop = min(len(buffer), at + PIECE)
-        while stop < len(buffer) and not _SPACE[buffer[stop]]:
-            ahead = np.flatnonzero(_SPACE[buffer[stop: stop + 4096]])
+        while stop < len(buffer) and not gap[buffer[stop]]:
+            ahead = np.flatnonzero(gap[buffer[stop: stop + 4096]])
             stop = stop + int(ahead[0]) if len(ahead) else min(len(buffer), stop + 4096)
         piece = buffer[at:stop]
-        code, start = _piece_codes(_LOWER[piece] if lower else piece)
-        codes.append(code)
+        found, start = _piece_codes(_LOWER[piece] if lower else piece, gap, heads)
+        for own, new in zip(codes, found, strict=True):
+            own.append(new)
         starts.append(start + at)
         at = stop
-    if not codes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(codes), np.concatenate(starts)
+    return [np.concatenate(own) for own in codes], np.concatenate(starts)
+
+
+def word_codes(buffer: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all words of a byte buffer and the offsets at which they start."""
+    (codes,), starts = codes_in(buffer, lower)
+    return codes, starts
 
 
 def grams(codes: np.ndarray, n: int) -> np.ndarray:
