@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -46,3 +47,46 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 24,
                 start, total = i, 0
             total += size
         yield b.slice(start)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and all(held[-1].column(i)[held[-1].num_rows - 1] == b.column(i)[0]
+                        for i in range(keys)):
+            cut = _first_end(b, keys)
+            held.append(b.slice(0, cut))
+            b = b.slice(cut)
+            if not b.num_rows:
+                continue
+        if held:
+            yield pa.Table.from_batches(held)
+        last = _last_start(b, keys)
+        if last:
+            yield pa.Table.from_batches([b.slice(0, last)])
+        held = [b.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def changes(table: pa.RecordBatch | pa.Table, keys: int) -> np.ndarray:
+    """Where a new group starts, first row excluded."""
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for i in range(keys):
+        values = table.column(i).to_numpy(zero_copy_only=False) \
+            if isinstance(table, pa.RecordBatch) else table.column(i).to_numpy()
+        new |= values[1:] != values[:-1]
+    return np.flatnonzero(new) + 1
+
+
+def _first_end(b: pa.RecordBatch, keys: int) -> int:
+    at = changes(b, keys)
+    return int(at[0]) if len(at) else b.num_rows
+
+
+def _last_start(b: pa.RecordBatch, keys: int) -> int:
+    at = changes(b, keys)
+    return int(at[-1]) if len(at) else 0

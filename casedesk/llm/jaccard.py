@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casedesk.llm.frames import batch, fresh, named, sliced
+from casedesk.llm.frames import changes, fresh, named, runs, sliced
 from casedesk.llm.graph import components
 from casedesk.llm.words import coded_texts, distinct, grams, spans
 from casedesk.session import materialize
@@ -165,54 +165,11 @@ def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable:
     return emit
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of whole groups from rows sorted by their first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if held and all(held[-1].column(i)[held[-1].num_rows - 1] == b.column(i)[0]
-                        for i in range(keys)):
-            cut = _first_end(b, keys)
-            held.append(b.slice(0, cut))
-            b = b.slice(cut)
-            if not b.num_rows:
-                continue
-        if held:
-            yield pa.Table.from_batches(held)
-        last = _last_start(b, keys)
-        if last:
-            yield pa.Table.from_batches([b.slice(0, last)])
-        held = [b.slice(last)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _changes(table: pa.RecordBatch | pa.Table, keys: int) -> np.ndarray:
-    """Where a new group starts, first row excluded."""
-    new = np.zeros(max(0, table.num_rows - 1), bool)
-    for i in range(keys):
-        values = table.column(i).to_numpy(zero_copy_only=False) \
-            if isinstance(table, pa.RecordBatch) else table.column(i).to_numpy()
-        new |= values[1:] != values[:-1]
-    return np.flatnonzero(new) + 1
-
-
-def _first_end(b: pa.RecordBatch, keys: int) -> int:
-    at = _changes(b, keys)
-    return int(at[0]) if len(at) else b.num_rows
-
-
-def _last_start(b: pa.RecordBatch, keys: int) -> int:
-    at = _changes(b, keys)
-    return int(at[-1]) if len(at) else 0
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, tile, sid: each once, without blocks of one set."""
-    for table in _runs(batches, 2):
+    for table in runs(batches, 2):
         key, tile, sid = (c.to_numpy() for c in table.columns)
-        block = np.concatenate(([0], _changes(table, 2)))
+        block = np.concatenate(([0], changes(table, 2)))
         one = np.concatenate(([True], sid[1:] != sid[:-1]))
         one[block] = True
         many = np.add.reduceat(one.astype(np.int64), block) > 1
@@ -284,8 +241,8 @@ def _pairs(one: bool) -> Callable:
     With ``one`` every point gets the partner of another component with the best bound.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, 3):
-            cuts = np.concatenate(([0], _changes(table, 3), [table.num_rows]))
+        for table in runs(batches, 3):
+            cuts = np.concatenate(([0], changes(table, 3), [table.num_rows]))
             i, j, tile, sid, group = (table.column(c).to_numpy() for c in range(1, 6))
             raw = b"".join(table.column(6).to_pylist())
             points = np.frombuffer(raw, "<u4").reshape(-1, GROUPS).astype(np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casedesk.llm import exact, jaccard, mixing, packing, substrings, toxicity, url_rules, warc
+from casedesk.llm import exact, jaccard, mixing, packing, substrings, toxicity, url_rules, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,8 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op3_substring_dedup, op4_url_filter, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_exact_dedup, op10_best_fit_packing)
+    found = (op1_warc, op3_substring_dedup, op4_url_filter, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_exact_dedup,
+             op9_vector_dedup, op10_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
