@@ -47,9 +47,6 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 # --- tokens -----------------------------------------------------------------------------------
 
-# The vocabulary's split pattern and its special token, fixed values of the public files.
-SPECIAL = "<|endoftext|>"
-SPECIAL_ID = 50256
 # What the faster of the two encoders is not trusted with: scripts whose character classes may
 # differ between regular-expression engines, the special token, and very long blanks.
 UNUSUAL = re.compile(r"[^\x00-ɏ]|<\|endoftext\|>|\s{500}")
@@ -85,6 +82,14 @@ def encoder(json_path: str, ranks_path: str | None):
     return by_ranks
 
 
+def public_vocabulary() -> tuple[str, str]:
+    """Both files of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return (public_tokenizers.path("byte_bpe_50k.json"),
+            public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document; the first one may be shorter."""
     first = length % capacity or capacity

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casedesk.llm import exact, jaccard, mixing, packing, substrings, toxicity, url_rules, vectors, warc
+import corpus_pipeline
+from casedesk.llm import exact, html_text, jaccard, mixing, packing, substrings, toxicity, url_rules, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -51,21 +56,13 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(table(spark, sf_dir, "documents"))
-
-
-def packed_documents(docs: DataFrame) -> DataFrame:
-    """Packing with the public byte-level vocabulary."""
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"),
-                        public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), *packing.public_vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op3_substring_dedup, op4_url_filter, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_exact_dedup,
+    found = (op1_warc, op2_html_text, op3_substring_dedup, op4_url_filter, op5_toxicity, op6_jaccard_join, op7_mix_sources, op8_exact_dedup,
              op9_vector_dedup, op10_best_fit_packing)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
