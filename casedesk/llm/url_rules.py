@@ -24,7 +24,6 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from casedesk.llm.frames import fresh, named
 
@@ -92,54 +91,51 @@ def url_tokens(site: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(low, F.lit(r"([a-z0-9]+)"), 1))
 
 
-RULE_SCHEMA = StructType([
-    StructField("rule_id", IntegerType()), StructField("rule", StringType()),
-    StructField("pattern", StringType()), StructField("verdict", StringType()),
-    StructField("priority", IntegerType()), StructField("tokens", ArrayType(StringType()))])
+INDEX_DDL = "token string, rule_id int, rule string, pattern string, verdict string, priority int"
 
 
-def rule_table(spark, rules: tuple[Rule, ...]) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, r.name if r.shown else None, r.pattern, r.verdict, r.priority, list(r.tokens))
-         for i, r in enumerate(sorted(rules, key=lambda r: r.name))], RULE_SCHEMA)
+def rarest_tokens(sites: DataFrame, rules: list[Rule]) -> list[str | None]:
+    """For each rule the one of its tokens that the fewest URLs hold; None if it has none.
+
+    ``sites`` holds the tokens of all URLs. What comes back is one count per rule token.
+    """
+    spark = sites.sparkSession
+    own = sorted({t for r in rules for t in r.tokens})
+    known = spark.createDataFrame([(t,) for t in own], "token string")
+    counts = dict(sites.select(F.explode("tokens").alias("token"))
+                  .join(_sent(known, len(own)), "token").groupBy("token").count().collect())
+    return [min(((counts.get(t, 0), t) for t in r.tokens), default=(0, None))[1] for r in rules]
 
 
-def filed(sites: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
-    """The rules, each under its rarest literal token; ``sites`` holds the tokens of all URLs."""
-    pairs = rules.select("rule_id", F.explode("tokens").alias("token"))
-    known = _sent(pairs.select("token").distinct(), n_rules)
-    counts = (sites.select(F.explode("tokens").alias("token")).join(known, "token")
-              .groupBy("token").count())
-    rarest = (pairs.join(counts, "token", "left")
-              .groupBy("rule_id")
-              .agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token"))["token"]
-                   .alias("token")))
-    return rules.drop("tokens").join(_sent(rarest, n_rules), "rule_id", "left")
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_RULES else df
 
 
-def _sent(df: DataFrame, n_rules: int) -> DataFrame:
-    return F.broadcast(df) if n_rules <= BROADCAST_RULES else df
+def candidates(sites: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Pairs of site and rule whose rarest token the site holds, or that has none."""
+    filed = list(zip(rarest_tokens(sites, rules), range(len(rules)), rules, strict=True))
 
+    def row(token, i, r):
+        return token, i, r.name if r.shown else None, r.pattern, r.verdict, r.priority
 
-def candidates(sites: DataFrame, index: DataFrame, n_rules: int) -> DataFrame:
-    """Pairs of site and rule whose token the site holds, or that has none."""
+    index = sites.sparkSession.createDataFrame(
+        [row(*f) for f in filed if f[0] is not None], INDEX_DDL)
     held = sites.select("site", F.explode("tokens").alias("token"))
-    by_token, free = index.where("token is not null"), index.where("token is null")
-    if n_rules <= BROADCAST_RULES:
-        found = held.join(F.broadcast(by_token), "token")
+    if len(rules) <= BROADCAST_RULES:
+        found = held.join(F.broadcast(index), "token")
     else:
-        salted = by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = held.withColumn("salt", F.pmod(F.xxhash64("site"), F.lit(SALTS)).cast("int")) \
             .join(salted, ["token", "salt"]).drop("salt")
-    return found.drop("token").unionByName(_tried_everywhere(sites, free.drop("token")))
-
-
-def _tried_everywhere(sites: DataFrame, free: DataFrame) -> DataFrame:
-    """Every site with each of the rules that name no word; such rules are few by intent."""
-    listed = free.agg(F.collect_list(F.struct(*free.columns)).alias("rules")).withColumn(
-        "one", F.lit(1))
-    return (sites.select("site", F.lit(1).alias("one")).join(F.broadcast(listed), "one")
-            .select("site", F.inline("rules")))
+    found = found.drop("token")
+    free = [row(*f)[1:] for f in filed if f[0] is None]
+    if not free:
+        return found
+    # Rules without a literal word are tried on every site, in its own row.
+    names = found.columns[1:]
+    listed = F.array(*[F.struct(*[F.lit(v).cast(found.schema[n].dataType).alias(n)
+                                  for n, v in zip(names, f, strict=True)]) for f in free])
+    return found.unionByName(sites.select("site", F.inline(listed)))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "allow",
@@ -149,7 +145,6 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "al
     A column of one of these four names is replaced. ``rule`` is null where no shown rule
     decides: pattern rules give a verdict without a name.
     """
-    spark, n = pages.sparkSession, len(rules)
     row, key = fresh(pages, "row", "site")
     host, path = host_and_path(named(url_col).cast("string"))
     # The host ends where the path's slash begins, so the two can be told apart in one string.
@@ -158,8 +153,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "al
                         F.concat(host, path).alias(key))
     sites = (left.select(F.col(key).alias("site")).distinct()
              .withColumn("tokens", url_tokens(F.col("site"))))
-    index = filed(sites, rule_table(spark, rules), n)
-    fits = candidates(sites, index, n).where("regexp_like(site, pattern)")
+    fits = candidates(sites, sorted(rules, key=lambda r: r.name)).where("regexp_like(site, pattern)")
     best = (fits.groupBy("site")
             .agg(F.min_by(F.struct("rule", "verdict"),
                           F.struct(-F.col("priority"), F.col("rule_id"))).alias("best")))
