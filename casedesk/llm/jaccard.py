@@ -15,7 +15,8 @@ into tiles of about ``TILE`` documents.
 Links are wanted, not all pairs of a group of copies: equal sets are one node, and two rounds in
 which a point takes its best partner of another component, tile by tile, connect the large groups
 first. Then every pair of nodes of different components that shares a block, whatever its tiles, and
-passes the R-tree is verified, so no link between components is lost.
+passes the R-tree is verified, so no link between components is lost. Each of their common prefix keys
+gives a row, and the number of these bounds the overlap once more before texts are moved.
 
 Words are lower-cased in A-Z. Fewer than five words are one shingle; no words, or a null text, make
 an empty set, which is linked with nothing. Null ids never become the name of a component unless
@@ -246,6 +247,7 @@ def _pairs(one: bool) -> Callable:
             i, j, tile, sid, group = (table.column(c).to_numpy() for c in range(1, 6))
             raw = b"".join(table.column(6).to_pylist())
             points = np.frombuffer(raw, "<u4").reshape(-1, GROUPS).astype(np.int64)
+            sizes = points.sum(1)
             found_a, found_b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 left = np.arange(lo, hi)
@@ -263,12 +265,14 @@ def _pairs(one: bool) -> Callable:
                     order = np.lexsort((b, -bound, a))
                     first = np.concatenate(([True], a[order][1:] != a[order][:-1]))
                     a, b = a[order][first], b[order][first]
-                found_a.append(sid[a])
-                found_b.append(sid[b])
+                swap = sid[a] > sid[b]
+                found_a.append(np.where(swap, b, a))
+                found_b.append(np.where(swap, a, b))
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    [pa.array(c) for c in (sid[a], sid[b], sizes[a], sizes[b])],
+                    names=["a", "b", "n_a", "n_b"])
     return emit
 
 
@@ -315,10 +319,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["a", "b"])
 
 
+def possible(pairs: DataFrame) -> DataFrame:
+    """The pairs whose number of common prefix keys, one row each, allows for enough overlap.
+
+    What two sets share is in both prefixes or behind the shorter-reaching one, so the overlap is
+    at most the common keys and what one set has behind its prefix.
+    """
+    behind = F.expr(f"ceil({PERCENT} * greatest(n_a, n_b) / 100) - 1")
+    return (pairs.groupBy("a", "b", "n_a", "n_b").count()
+            .where((F.col("count") + behind) * (100 + PERCENT)
+                   >= PERCENT * (F.col("n_a") + F.col("n_b")))
+            .select("a", "b"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("sid").alias("a"), F.col("body").alias("body_a"))
     right = sets.select(F.col("sid").alias("b"), F.col("body").alias("body_b"))
-    return (pairs.distinct().join(right, "b").join(left, "a").sortWithinPartitions("a")
+    return (pairs.join(right, "b").join(left, "a").sortWithinPartitions("a")
             .select("a", "b", "body_a", "body_b").mapInArrow(_verify, "a long, b long"))
 
 
@@ -345,7 +362,7 @@ def _candidates(rows: DataFrame, sets: DataFrame, one: bool) -> DataFrame:
     return (rows.join(sets.select("sid", "point"), "sid")
             .select("key", "i", "j", "tile", "sid", "component", "point")
             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_pairs(one), "a long, b long"))
+            .mapInArrow(_pairs(one), "a long, b long, n_a long, n_b long"))
 
 
 def linked_sets(texts: DataFrame) -> DataFrame:
@@ -376,6 +393,8 @@ def linked_sets(texts: DataFrame) -> DataFrame:
             rows = (rows.withColumn("other", other)
                     .withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}))
         pairs = _candidates(rows, sets, one)
+        # In the last round every common key of a pair gives a row.
+        pairs = pairs.select("a", "b").distinct() if one else possible(pairs)
         new = materialize(verified(pairs, sets), "links")
         links = new if links is None else links.union(new)
         found = components(links)
