@@ -32,9 +32,9 @@ from casedesk.llm.frames import batch, named, sliced
 
 PAGES_READ = 400  # pages whose prose fills the labelled pages
 PAGE_CHARS = 20_000  # longest page that is read for its prose
-PAGES_MADE = 900
+PAGES_MADE = 1_200
 EPOCHS = 150
-PENALTY = 2e-4
+PENALTY = 5e-5
 CONTENT, OTHER = "", ""  # marks of the labels in the pages made for training
 
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()),
@@ -259,8 +259,8 @@ class Maker:
                 out.append(f"<table><tr>{cells}</tr></table>")
             else:
                 out.append(f"<pre>{self.prose(CONTENT, 3, 30)}</pre>")
-        if pick() < 0.35:
-            out.insert(self.random.randint(1, len(out)), self.other(inside=True))
+        while pick() < 0.45:
+            out.insert(self.random.randint(0, len(out)), self.other(inside=True))
         return self.wrapped(self.random.choice(CONTENT_ELEMENTS), "".join(out))
 
     def other(self, inside: bool = False) -> str:
