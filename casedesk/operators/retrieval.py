@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from casedesk.functions import text as tx
 from casedesk.functions.staging import spread
-from casedesk.operators.block_scores import BlockScorer
 from casedesk.operators import tfidf
-from casedesk.session import materialize, run_folder
+from casedesk.session import materialize
 
-MAX_FEATURES = 50_000
-# Query text that one block may hold; its postings stay well below 100 MB.
-BLOCK_CHARS = 4_000_000
-# Rows of ids and numbers that may be broadcast: some 50 MB.
-BROADCAST_ROWS = 1_000_000
+# Rarest terms of a query whose cases set the bar that the others have to reach.
+SEED_TERMS = 3
+# Postings of a term beyond which it is cut into parts.
+POSTINGS_PER_PART = 100_000
+# Similarities are rounded to six decimals: this much below the bar may still tie with it.
+ROUNDING = 2e-6
 
 
 @dataclass
@@ -47,10 +46,12 @@ def _distinct_texts(docs: DataFrame, id_column: str) -> DataFrame:
 
 def build_index(
     pairs: DataFrame, exclude: DataFrame | None = None, stop_words=tx.STOP_WORDS,
-    max_features: int = MAX_FEATURES, store: bool = False,
+    max_features: int | None = None, store: bool = False,
 ) -> CaseIndex:
     """Index over answered cases; ids in ``exclude`` stay out of it.
 
+    The vocabulary is whole unless ``max_features`` asks for the most frequent terms.
+
     With ``store`` every part is written as it is built and read back, so that later
     parts and all retrievals start from files. Term counts are made anew for the
     vectors: counting again is cheaper than keeping all postings twice.
@@ -80,85 +81,115 @@ def index_postings(index: CaseIndex) -> DataFrame:
     )
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """The table marked for broadcast if its measured number of rows allows it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _query_terms(texts: DataFrame, index: CaseIndex, stop_words) -> DataFrame:
+    """One row per query text and term, rarest first: place, weight, squared weight before it."""
+    counted = tfidf.with_term_counts(texts, F.col("search_text"), stop_words)
+    weights = tfidf.postings(tfidf.unit_vectors(counted, index.vocab, "query_rep"), "query_rep")
+    rare = W.partitionBy("query_rep").orderBy("df", "term")
+    square = F.col("weight") * F.col("weight")
+    return (
+        weights.join(index.vocab.select("term", "df"), "term")
+        .withColumn("place", F.row_number().over(rare))
+        .withColumn("before", F.sum(square).over(
+            rare.rowsBetween(W.unboundedPreceding, 0)) - square)
+        .withColumn("tail", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("before")))))
 
 
-def _copies(cases: DataFrame, found: DataFrame, rows: int, k: int) -> DataFrame:
-    """The ``k`` smallest case ids with the text of each found case.
+def _parts() -> Column:
+    """Parts that the postings of a term are cut into, so that a frequent term is no hot key."""
+    return F.ceil(F.col("df") / POSTINGS_PER_PART).cast("int")
 
-    No other copy can reach a top k. Only found cases are looked up: the index is
-    scanned, and shuffled just where too many cases were found to broadcast them.
-    """
-    reps = _small(found.select("rep_id").distinct(), rows)
-    keyed = cases.select(F.col("case_id").alias("rep_id"), "text_key").join(reps, "rep_id")
-    same = W.partitionBy("rep_id").orderBy("case_id")
+
+def _case_postings(index: CaseIndex) -> DataFrame:
+    part = F.pmod(F.xxhash64("rep_id"), _parts()).cast("int")
     return (
-        cases.select("text_key", "case_id").join(_small(keyed, rows), "text_key")
-        .withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k)
-        .select("rep_id", "case_id")
-    )
+        tfidf.postings(index.vectors, "rep_id").withColumnRenamed("weight", "case_weight")
+        .join(index.vocab.select("term", "df"), "term")
+        .select("term", part.alias("part"), "rep_id", "case_weight"))
 
 
-def _write_block(block: DataFrame, vectors: DataFrame, k: int, folder: str) -> None:
-    """Appends the top k of one block of queries against the whole index.
+def _partial_scores(terms: DataFrame, cases: DataFrame) -> DataFrame:
+    """Scores over the given query terms of all cases that hold one of them."""
+    spread_terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1)))
+    return (
+        spread_terms.join(cases, ["term", "part"]).groupBy("query_rep", "rep_id")
+        .agg(F.sum(F.col("weight") * F.col("case_weight")).alias("partial")))
+
 
-    The block, small by construction, goes to every task; the index stays where it is
-    and is read once. A task adds up the scores of a few cases at a time and keeps k
-    cases per query, so neither pairs nor the index cross the network and memory does
-    not grow with the number of cases.
+def _best_texts(terms: DataFrame, index: CaseIndex, k: int) -> DataFrame:
+    """``query_rep, rep_id, similarity`` of the k best case texts per query text, exactly.
+
+    The rarest terms alone give k scores that the true k best can't fall below: the bar. A
+    case that shares only the terms behind some place scores at most the length of that
+    tail of the query, as case vectors have length one. So only the terms up to the place
+    where the tail falls below the bar bring candidates, and of these only the ones that
+    could still reach it are scored over the rest of the terms.
     """
-    scorer = BlockScorer(block.select("query_rep", "term", "weight").toPandas(), k)
-    shared = block.sparkSession.sparkContext.broadcast(scorer)
+    cases = _case_postings(index)
+    best = W.partitionBy("query_rep").orderBy(F.desc("partial"), "rep_id")
+    seeds = (
+        _partial_scores(terms.filter(F.col("place") <= SEED_TERMS), cases)
+        .withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k))
+    bars = seeds.groupBy("query_rep").agg(
+        F.when(F.count("*") >= k, F.min("partial")).alias("bar"))
+    barred = terms.join(bars, "query_rep", "left").withColumn(
+        "bar", F.coalesce("bar", F.lit(0.0)) - ROUNDING)
+    barred = materialize(barred, "query-terms")
+    leading = F.col("tail") >= F.col("bar")
+    rest = barred.groupBy("query_rep").agg(
+        F.collect_list(F.when(~leading, F.struct("term", "weight"))).alias("rest"),
+        F.coalesce(F.max(F.when(~leading, F.col("tail"))), F.lit(0.0)).alias("reach"),
+        F.first("bar").alias("bar"))
+    candidates = (
+        _partial_scores(barred.filter(leading), cases).join(rest, "query_rep")
+        .filter(F.col("partial") + F.col("reach") >= F.col("bar")))
+    weights = F.map_from_entries("vector")
+    behind = F.aggregate(
+        "rest", F.lit(0.0), lambda total, t: total + t["weight"] * F.coalesce(
+            F.try_element_at(weights, t["term"]), F.lit(0.0)))
+    similarity = F.round(F.col("partial") + behind, 6)
+    ranked = W.partitionBy("query_rep").orderBy(F.desc("similarity"), "rep_id")
+    return (
+        candidates.join(index.vectors, "rep_id")
+        .select("query_rep", "rep_id", similarity.alias("similarity"))
+        .filter(F.col("similarity") > 0)
+        .withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k).drop("nth"))
 
-    def run(batches):
-        yield from shared.value.best(batches)
 
-    cases = vectors.select(
-        "rep_id", F.col("vector.term").alias("terms"), F.col("vector.weight").alias("weights"))
-    found = cases.mapInArrow(run, "query_rep long, rep_id long, similarity double")
-    best = W.partitionBy("query_rep").orderBy(F.desc("similarity"), "rep_id")
-    ranked = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    ranked.drop("place").write.mode("append").parquet(folder)
-    shared.destroy()
+def _copies(cases: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` smallest case ids with the text of each found case; no other can be in a top k.
+
+    The rank is cut in every task before the shuffle, so a text of very many copies sends
+    k rows per task.
+    """
+    same = W.partitionBy("text_key").orderBy("case_id")
+    least = (
+        cases.select("text_key", "case_id")
+        .withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k))
+    own = least.filter("copy = 1").select("text_key", F.col("case_id").alias("rep_id"))
+    wanted = own.join(found.select("rep_id").distinct(), "rep_id")
+    return least.join(wanted, "text_key").select("rep_id", "case_id")
 
 
 def similar_cases(
     queries: DataFrame, index: CaseIndex, k: int = 3, stop_words=tx.STOP_WORDS,
-    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``query_id, case_id, similarity, rank`` of the ``k`` most similar cases per query.
 
     Similarities are rounded before ranking and ties go to the smaller case id. Only
-    cases that share a term are returned. The text of all queries is measured first
-    and cut into blocks of about ``block_chars``; one block after the other is sent to
-    the index and its result appended to a table, so that only one is held at a time.
-    The ranked table is returned as files.
+    cases that share a term are returned. Equal query texts are answered once. The
+    ranked table is returned as files.
     """
     asked = with_search_text(queries).select(
         F.col("customer_tweet_id").alias("query_id"), "text_key", "search_text")
     texts = _distinct_texts(asked, "query_id").withColumnRenamed("rep_id", "query_rep")
-    counted = tfidf.with_term_counts(texts, F.col("search_text"), stop_words)
-    query_postings = tfidf.postings(
-        tfidf.unit_vectors(counted, index.vocab, "query_rep"), "query_rep")
-
-    total = texts.agg(F.sum(F.length("search_text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_chars))
-    parts = [query_postings] if blocks == 1 else [
-        query_postings.filter(F.pmod(F.xxhash64("query_rep"), F.lit(blocks)) == b)
-        for b in range(blocks)]
-    spark = queries.sparkSession
-    folder = run_folder(spark, "block-results")
-    for part in parts:
-        _write_block(part, index.vectors, k, folder)
-    found = spark.read.parquet(folder)
-    rows = found.count()
+    terms = materialize(_query_terms(texts, index, stop_words), "query-postings")
+    found = materialize(_best_texts(terms, index, k), "best-texts")
 
     reps = texts.select("text_key", "query_rep")
     members = asked.select("query_id", "text_key").join(reps, "text_key")
     expanded = (
-        found.join(_copies(index.cases, found, rows, k), "rep_id")
+        found.join(_copies(index.cases, found, k), "rep_id")
         .select("query_rep", "case_id", "similarity")
         .withColumn("rank", F.row_number().over(
             W.partitionBy("query_rep").orderBy(F.desc("similarity"), "case_id")))
@@ -170,13 +201,10 @@ def similar_cases(
 
 
 def with_case_text(found: DataFrame, index: CaseIndex) -> DataFrame:
-    """The ranked table with message, context and reply of each case.
-
-    A ranked table of measured small size goes to the cases instead of moving them.
-    """
+    """The ranked table with message, context and reply of each case."""
     texts = index.cases.select(
         "case_id", "customer_message", "previous_context", "brand_reply", "brand_tweet_id")
-    return texts.join(_small(found, found.count()), "case_id")
+    return texts.join(found, "case_id")
 
 
 def evidence_lists(found: DataFrame) -> DataFrame:

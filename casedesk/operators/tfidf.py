@@ -49,11 +49,28 @@ def vocabulary(
     kept = stats.withColumn("n_docs", n_docs.scalar()).filter(
         (F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_docs")))
     if max_features:
-        kept = kept.orderBy(F.desc("cf"), "term").limit(max_features)
+        kept = _most_frequent(kept, max_features)
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     return kept.select("term", "df", "cf", idf.alias("idf"))
 
 
+def _most_frequent(stats: DataFrame, n: int) -> DataFrame:
+    """The ``n`` terms of highest cf: all above a count, and the first ones of that count.
+
+    How many terms have which count is a small table, so no task orders the terms.
+    """
+    above, last = 0, None
+    for r in stats.groupBy("cf").count().orderBy(F.desc("cf")).toLocalIterator():
+        last = r["cf"]
+        if above + r["count"] >= n:
+            break
+        above += r["count"]
+    if last is None:
+        return stats
+    ties = stats.filter(F.col("cf") == last).orderBy("term").limit(n - above)
+    return stats.filter(F.col("cf") > last).unionByName(ties)
+
+
 def unit_vectors(
     counted: DataFrame, vocab: DataFrame, id_column: str, sublinear: bool = False,
     key: str = "term",

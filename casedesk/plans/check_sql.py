@@ -12,7 +12,7 @@ from casedesk.functions import escalation as esc
 from casedesk.functions import lexicons as lex
 from casedesk.functions import rules
 from casedesk.functions import text as tx
-from casedesk.operators import evaluation, judging, reply_quality, retrieval
+from casedesk.operators import evaluation, judging, reply_quality
 from casedesk.plans.fixtures import JUDGED_FIELDS
 from casedesk.plans.workspace import GOLDEN_SIZE, PAIR_SAMPLE
 from casedesk.sources import tables
@@ -226,7 +226,7 @@ def _index() -> str:
     case_vectors as (select case_id, term, w / sqrt(sum(w * w) over (partition by case_id)) as weight
       from (select case_id, t.term, tf * idf as w from case_tf t join vocab v on t.term = v.term))"""
     return ",".join([
-        case_tf, _stats("vocab", "cases", "case_tf", 1.0, retrieval.MAX_FEATURES), weights,
+        case_tf, _stats("vocab", "cases", "case_tf", 1.0, 2 ** 62), weights,
         _vectors("query_vectors", "open_messages", "customer_tweet_id", text, "vocab", tx.STOP_WORDS)])
 
 
@@ -404,7 +404,7 @@ def base() -> str:
         from ({_silver('labelled_pairs')}))''', 'predicted_intent', 'prediction_confidence')})""",
         """
     cases as (select * from pairs where customer_tweet_id not in
-      (select customer_tweet_id from open_messages))""",
+      (select customer_tweet_id from golden))""",
         _index(), _drafts(), _grounding(), _judge(), _reviews(),
     ])
 

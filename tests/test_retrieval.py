@@ -65,12 +65,23 @@ def rows(df):
     return {(r.query_id, r.case_id, r.similarity, r.rank) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block_chars", [4_000_000, 150])
-def test_top_k_equals_brute_force(spark, corpus, block_chars):
+@pytest.mark.parametrize("part,features", [(100_000, None), (7, 40), (100_000, 5)])
+def test_top_k_equals_brute_force(spark, corpus, monkeypatch, part, features):
+    monkeypatch.setattr(retrieval, "POSTINGS_PER_PART", part)
     asked, answered = frames(spark, *corpus)
-    index = retrieval.build_index(answered, max_features=40)
-    found = rows(retrieval.similar_cases(asked, index, 3, block_chars=block_chars))
-    assert found == brute_force(*corpus, 3, 40)
+    index = retrieval.build_index(answered, max_features=features)
+    found = rows(retrieval.similar_cases(asked, index, 3))
+    assert found == brute_force(*corpus, 3, features)
+
+
+def test_no_python_stage(spark, corpus):
+    asked, answered = frames(spark, *corpus)
+    index = retrieval.build_index(answered)
+    terms = retrieval._query_terms(retrieval._distinct_texts(
+        retrieval.with_search_text(asked), "customer_tweet_id").withColumnRenamed(
+        "rep_id", "query_rep"), index, STOP_WORDS)
+    plan = retrieval._best_texts(terms, index, 3)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
 
 
 def test_excluded_ids_stay_out(spark, corpus):
