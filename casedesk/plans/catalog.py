@@ -19,6 +19,8 @@ from casedesk.sources.files import ensure_string_columns
 from casedesk.streaming import triage
 
 ID = "customer_tweet_id"
+# The brand of the one-brand queries.
+BRAND = "AcmeHelp"
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -26,14 +28,16 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _stage_counts(w: Workspace) -> DataFrame:
+    stored = w.stored_pairs
+    golden = sampling.golden_set(stored, GOLDEN_SIZE)
     return profile.stage_counts({
         "tweets": w.tweets,
         "brand_tweets": pairs.brand_tweets(w.tweets),
         "interactions": pairs.interactions(w.tweets),
-        "pairs": w.pairs,
-        "golden": w.golden,
-        "train": w.train,
-        "silver_train": classifier.silver_train(w.pairs, w.golden),
+        "pairs": stored,
+        "golden": golden,
+        "train": sampling.without(stored, golden),
+        "silver_train": classifier.silver_train(stored, golden),
     })
 
 
@@ -62,8 +66,12 @@ def _escalation_decisions(w: Workspace) -> DataFrame:
         "escalation_reason")
 
 
+def _silver_train(w: Workspace) -> DataFrame:
+    return classifier.silver_train(w.stored_pairs, w.stored_golden)
+
+
 def _tfidf_features(w: Workspace) -> DataFrame:
-    train = classifier.silver_train(w.pairs, w.golden)
+    train = _silver_train(w)
     return _rounded(tfidf.postings(classifier.training_vectors(train), ID), "weight")
 
 
@@ -84,7 +92,7 @@ def _evaluation_results(w: Workspace) -> DataFrame:
 
 
 def _verdicts(w: Workspace) -> DataFrame:
-    return judging.parse_verdicts(fixtures.judge_responses(w.open_messages))
+    return judging.parse_verdicts(fixtures.judge_responses(w.golden))
 
 
 def _first_verdicts(w: Workspace) -> DataFrame:
@@ -98,7 +106,7 @@ def _judge_merged(w: Workspace) -> DataFrame:
 
 def _judge_results(w: Workspace) -> DataFrame:
     return _rounded(
-        judging.judge_results(w.answered, _first_verdicts(w), w.labelled_open), "confidence")
+        judging.judge_results(w.answered, _first_verdicts(w), w.labelled_golden), "confidence")
 
 
 def _reviewed(w: Workspace) -> DataFrame:
@@ -149,6 +157,8 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "reply_pairs": lambda w: w.pairs,
     "conversation_pairs": lambda w: pairs.conversation_pairs(w.tweets),
     "answered_customers": lambda w: pairs.answered_customers(w.tweets),
+    "brand_pairs": lambda w: pairs.reply_pairs(w.tweets, brand=BRAND),
+    "brand_customers": lambda w: pairs.answered_customers(w.tweets, brand=BRAND),
     "answered_flags": lambda w: pairs.with_answered_flag(w.tweets).select(
         "tweet_id", "has_brand_response"),
     "open_messages": lambda w: w.open_messages,
@@ -159,13 +169,13 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "clean_messages": _clean_messages,
     "evaluation_text": _evaluation_text,
     "silver_intent": lambda w: rules.with_silver_intent(w.pairs).select(ID, "intent"),
-    "silver_train": lambda w: classifier.silver_train(w.pairs, w.golden),
+    "silver_train": lambda w: _silver_train(w),
     "auto_label": _auto_label,
     "keyword_baseline": lambda w: rules.with_baseline_intent(w.pairs).select(
         ID, "keyword_prediction"),
     "escalation_decisions": _escalation_decisions,
     "intent_distribution": lambda w: profile.intent_distribution(
-        classifier.silver_train(w.pairs, w.golden)),
+        _silver_train(w)),
     "label_distribution": lambda w: profile.label_distribution(
         _auto_label(w), ["auto_intent", "auto_escalate", "confidence"]),
     "message_length_stats": lambda w: profile.message_length_stats(w.pairs),
@@ -174,15 +184,15 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "theme_examples": lambda w: profile.theme_examples(w.pairs),
     # retrieval and replies
     "term_stats": lambda w: _rounded(
-        retrieval.build_index(w.stored_pairs, exclude=w.stored_open).vocab, "idf"),
+        retrieval.build_index(w.stored_pairs, exclude=w.stored_golden).vocab, "idf"),
     "tfidf_features": _tfidf_features,
     "case_index": lambda w: _rounded(retrieval.index_postings(w.index), "weight"),
     "similar_cases": lambda w: w.similar,
     "reply_patterns": _reply_patterns,
-    "draft_replies": lambda w: replies.draft_replies(w.stored_open, _evidence(w)).select(
+    "draft_replies": lambda w: replies.draft_replies(w.stored_golden, _evidence(w)).select(
         ID, "generated_reply", "retrieved_case_count"),
     "reply_flags": lambda w: reply_quality.with_reply_flags(
-        replies.draft_replies(w.stored_open, _evidence(w))).select(
+        replies.draft_replies(w.stored_golden, _evidence(w))).select(
         ID, *reply_quality.FLAG_COLUMNS, "reply_length_score"),
     "reply_similarity": lambda w: _rounded(
         reply_quality.reply_similarity(w.answered), "similarity"),
@@ -208,14 +218,14 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "confidence_coverage": lambda w: evaluation.confidence_coverage(w.predicted),
     # classifier and agent
     "class_weights": lambda w: classifier.class_weights(
-        classifier.silver_train(w.pairs, w.golden)),
+        _silver_train(w)),
     "intent_predictions": _intent_predictions,
     "intent_model_eval": _intent_model_eval,
     "agent_decisions": _agent_decisions,
     # judge and review
     "judge_requests": lambda w: judging.judge_requests(w.answered),
     "judge_parsed": _verdicts,
-    "judge_pending": lambda w: judging.pending(w.labelled_open, _first_verdicts(w)).select(
+    "judge_pending": lambda w: judging.pending(w.labelled_golden, _first_verdicts(w)).select(
         ID, "customer_message", "intent"),
     "judge_latest": lambda w: judging.latest(_verdicts(w), "batch"),
     "judge_merged": _judge_merged,

@@ -112,14 +112,14 @@ def _tweets() -> str:
       from turns where not inbound and turn % 5 = 1)"""
 
 
-def _joined(order: str) -> str:
+def _joined(order: str, replies: str = "not b.inbound") -> str:
     return f"""select b.author_id as brand, c.tweet_id as customer_tweet_id,
         p.text as previous_context, c.text as customer_message, b.tweet_id as brand_tweet_id,
         b.text as brand_reply, c.created_at,
         row_number() over (partition by c.tweet_id order by b.tweet_id {order}) as place
       from tweets b join tweets c on b.in_response_to_tweet_id = c.tweet_id and c.inbound
       left join tweets p on p.tweet_id = c.in_response_to_tweet_id
-      where not b.inbound"""
+      where {replies}"""
 
 
 def _labels(source: str) -> str:
@@ -227,7 +227,7 @@ def _index() -> str:
       from (select case_id, t.term, tf * idf as w from case_tf t join vocab v on t.term = v.term))"""
     return ",".join([
         case_tf, _stats("vocab", "cases", "case_tf", 1.0, 2 ** 62), weights,
-        _vectors("query_vectors", "open_messages", "customer_tweet_id", text, "vocab", tx.STOP_WORDS)])
+        _vectors("query_vectors", "asked", "customer_tweet_id", text, "vocab", tx.STOP_WORDS)])
 
 
 def _flags(text: str, patterns) -> str:
@@ -260,7 +260,7 @@ def _drafts() -> str:
           || case when asks_for_dm then {lit(lex.REPLY_DM)}
                   when provides_steps then {lit(lex.REPLY_STEPS)}
                   else {lit(lex.REPLY_GENERIC)} end end as generated_reply
-      from open_messages m left join patterns p using (customer_tweet_id)),
+      from asked m left join patterns p using (customer_tweet_id)),
     answered as ({_escalation('(select d.*, s.predicted_intent, s.prediction_confidence as confidence '
                               'from drafts d join silver_open s using (customer_tweet_id))',
                               'predicted_intent', 'confidence')})"""
@@ -333,7 +333,7 @@ def _judge() -> str:
               || case when n % 3 = 0 then 'true' else 'false' end
               || ', "major_issue": "", "reasoning": "message of ' || cast(n as varchar)
               || ' characters"}}' as body
-            from (select customer_tweet_id, length(customer_message) as n from open_messages)
+            from (select customer_tweet_id, length(customer_message) as n from asked)
             cross join (values (0), (1)) b(batch))),
     verdicts as (select customer_tweet_id, batch, parse_ok, {fields}
       from (select customer_tweet_id, batch, coalesce(json_valid(body), false) as parse_ok,
@@ -379,17 +379,19 @@ def base() -> str:
     golden as (select customer_tweet_id, coalesce(previous_context, '') as previous_context,
         customer_message, brand_reply from pairs order by {golden_order} limit {GOLDEN_SIZE})""",
         """
+    asked as (select customer_tweet_id, previous_context, customer_message from golden)""",
+        """
     train as (select * from pairs where customer_tweet_id not in (select customer_tweet_id from golden))""",
         f"""
     proposed as ({_labels('pairs')})""",
         f"""
-    proposed_open as ({_labels('open_messages')})""",
+    proposed_open as ({_labels('asked')})""",
         f"""
     labelled_pairs as ({_labelled('proposed')})""",
         f"""
     labelled_open as ({_labelled('proposed_open')})""",
         f"""
-    silver_open as ({_silver('open_messages')})""",
+    silver_open as ({_silver('asked')})""",
         f"""
     silver_train as (select customer_tweet_id, coalesce(previous_context, '') as previous_context,
         customer_message, brand_reply, created_at, {rule_case('clean_text', lex.SILVER_RULES)} as intent
@@ -493,6 +495,10 @@ def oracle_sql() -> dict[str, str]:
             where place = 1""",
         "answered_customers": """select * from tweets where inbound and tweet_id in
             (select in_response_to_tweet_id from tweets where not inbound)""",
+        "brand_pairs": f"""select * exclude (place) from ({_joined('', "b.author_id = 'AcmeHelp'")})
+            where place = 1 and customer_message is not null and brand_reply is not null""",
+        "brand_customers": """select * from tweets where inbound and tweet_id in
+            (select in_response_to_tweet_id from tweets where author_id = 'AcmeHelp')""",
         "answered_flags": """select t.tweet_id, exists (select 1 from tweets b where not b.inbound
             and b.in_response_to_tweet_id = t.tweet_id) as has_brand_response
             from tweets t where inbound""",

@@ -45,6 +45,12 @@ class Workspace:
     def stored_open(self) -> DataFrame:
         return materialize(pairs.open_messages(self.tweets, self.stored_pairs), "open-messages")
 
+    @cached_property
+    def stored_golden(self) -> DataFrame:
+        """The evaluation messages as files, without the replies they got."""
+        return materialize(sampling.golden_set(self.stored_pairs, GOLDEN_SIZE).select(
+            "customer_tweet_id", "previous_context", "customer_message"), "golden")
+
     @cached_property
     def golden(self) -> DataFrame:
         return sampling.golden_set(self.pairs, GOLDEN_SIZE)
@@ -68,8 +74,8 @@ class Workspace:
         return self.labelled(self.pairs)
 
     @cached_property
-    def labelled_open(self) -> DataFrame:
-        return self.labelled(self.stored_open)
+    def labelled_golden(self) -> DataFrame:
+        return self.labelled(self.stored_golden)
 
     @staticmethod
     def rule_predictions(messages: DataFrame) -> DataFrame:
@@ -88,26 +94,26 @@ class Workspace:
 
     @cached_property
     def index(self) -> retrieval.CaseIndex:
-        """Index of all answered cases, built once and read from files."""
-        return retrieval.build_index(self.stored_pairs, exclude=self.stored_open, store=True)
+        """Index of the answered cases outside the evaluation set, read from files."""
+        return retrieval.build_index(self.stored_pairs, exclude=self.stored_golden, store=True)
 
     @cached_property
     def similar(self) -> DataFrame:
-        return retrieval.similar_cases(self.stored_open, self.index)
+        return retrieval.similar_cases(self.stored_golden, self.index)
 
     @cached_property
     def answered(self) -> DataFrame:
-        """Open messages answered by the agent with rule predictions."""
-        predictions = self.rule_predictions(self.stored_open).select(
+        """Evaluation messages answered by the agent with rule predictions."""
+        predictions = self.rule_predictions(self.stored_golden).select(
             "customer_tweet_id", "predicted_intent",
             F.col("prediction_confidence").alias("confidence"))
-        return materialize(agent.answer(self.stored_open, predictions, self.index), "answered")
+        return materialize(agent.answer(self.stored_golden, predictions, self.index), "answered")
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Reply evaluation of the open messages."""
+        """Reply evaluation of the evaluation set."""
         return reply_quality.grounding_scores(
-            agent.reply_evaluation(self.answered, self.labelled_open))
+            agent.reply_evaluation(self.answered, self.labelled_golden))
 
     def _trained(self, golden: DataFrame | None) -> classifier.IntentModel:
         train = materialize(classifier.silver_train(self.stored_pairs, golden), "silver-train")
