@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from casedesk.functions import lexicons as lex
 from casedesk.functions import text as tx
@@ -16,12 +16,13 @@ from casedesk.functions.rules import with_silver_intent
 from casedesk.functions.staging import staged
 from casedesk.operators import tfidf
 from casedesk.operators.sampling import without
-from casedesk.session import materialize
+from casedesk.session import materialize, run_folder
 
 ID = "customer_tweet_id"
 # Every partition returns a gradient as large as the coefficients in each iteration, so
 # it should hold at least this many rows.
 ROWS_PER_GRADIENT = 10_000
+TERMS_PER_BUCKET = 50_000
 
 
 def known_labels(df: DataFrame) -> DataFrame:
@@ -45,11 +46,6 @@ def class_weights(train: DataFrame) -> DataFrame:
     return counts.select("intent", "n", F.round(weight, 6).alias("weight"))
 
 
-@F.udf(VectorUDT())
-def _sparse(size, indices, values):
-    return SparseVector(size, indices, values)
-
-
 def model_text(context_mode: str = "template"):
     """Text the classifier reads: labelled parts, or both texts merged into one."""
     context, message = F.col("previous_context"), F.col("customer_message")
@@ -70,16 +66,49 @@ def training_vectors(train: DataFrame) -> DataFrame:
     return tfidf.unit_vectors(counted, tfidf.classifier_vocabulary(counted), ID, sublinear=True)
 
 
-def _with_features(messages: DataFrame, counted: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """The messages with ``features``; without known terms they get the zero vector."""
-    vectors = tfidf.unit_vectors(counted, vocab, ID, sublinear=True, key="position")
+def _placed(vocab: DataFrame) -> DataFrame:
+    """The vocabulary with positions 0..n-1: counted per bucket, then numbered inside it."""
+    spark = vocab.sparkSession
+    n = vocab.count()
+    buckets = max(1, math.ceil(n / TERMS_PER_BUCKET))
+    vocab = vocab.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    sizes = sorted(vocab.groupBy("bucket").count().collect())
+    starts, total = [], 0
+    for bucket, size in sizes:
+        starts.append((bucket, total))
+        total += size
+    starts = spark.createDataFrame(starts, "bucket long, start int")
+    nth = F.row_number().over(W.partitionBy("bucket").orderBy("term")) - 1
+    return vocab.withColumn("nth", nth).join(F.broadcast(starts), "bucket").select(
+        "term", "df", "cf", "idf", (F.col("start") + F.col("nth")).cast("int").alias("position"))
+
+
+def _as_features(rows: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """The rows with ``features`` for Spark ML; without known terms they get the zero vector.
+
+    The parts of sparse vectors are written to files and read back as such.
+    """
     entries = F.coalesce(
         F.sort_array("vector"), F.array().cast("array<struct<position:int,weight:double>>"))
-    joined = staged(messages.join(vectors, ID, "left"), _entries=entries)
-    features = _sparse(
-        F.lit(size), F.transform("_entries", lambda e: e["position"]),
-        F.transform("_entries", lambda e: e["weight"]))
-    return joined.withColumn("features", features).drop("vector", "_entries")
+    parts = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.transform("_entries", lambda e: e["position"]).alias("indices"),
+        F.transform("_entries", lambda e: e["weight"]).alias("values"))
+    joined = staged(rows.join(vectors, ID, "left"), _entries=entries)
+    folder = run_folder(rows.sparkSession, "features")
+    joined.select("label", "weight", parts.alias("features")).write.parquet(folder)
+    schema = T.StructType([
+        T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType()),
+        T.StructField("features", VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(folder)
+
+
+def _margins(regression: LogisticRegressionModel, spark: SparkSession) -> DataFrame:
+    """(position, coefficients of all classes)."""
+    by_position = regression.coefficientMatrix.toArray().T
+    return spark.createDataFrame(pd.DataFrame({
+        "position": range(len(by_position)), "coefficients": [r.tolist() for r in by_position]}),
+        "position int, coefficients array<double>")
 
 
 @dataclass
@@ -90,16 +119,32 @@ class IntentModel:
     vocab: DataFrame
 
     def predict(self, messages: DataFrame, context_mode: str = "template") -> DataFrame:
-        """Messages with ``predicted_intent``, ``prediction_confidence`` and all probabilities."""
-        size = self.regression.numFeatures
-        scored = self.regression.transform(_with_features(
-            messages.select(ID), counted_terms(messages, context_mode), self.vocab, size))
+        """Messages with ``predicted_intent``, ``prediction_confidence`` and all probabilities.
+
+        Terms meet their coefficients in a join and are summed per message and class.
+        """
+        counted = counted_terms(messages, context_mode)
+        entries = tfidf.postings(
+            tfidf.unit_vectors(counted, self.vocab, ID, sublinear=True, key="position"), ID)
+        n = self.regression.numClasses
+        sums = entries.join(_margins(self.regression, messages.sparkSession), "position").groupBy(
+            ID).agg(*[F.sum(F.col("weight") * F.get("coefficients", F.lit(i))).alias(f"m{i}")
+                      for i in range(n)])
+        shifts = self.regression.interceptVector.toArray().tolist()
+        margins = F.array(*[F.coalesce(F.col(f"m{i}"), F.lit(0.0)) + F.lit(shifts[i])
+                            for i in range(n)])
+        scored = staged(messages.join(sums, ID, "left"), _margins=margins)
+        powers = staged(scored, _powers=F.transform(
+            "_margins", lambda m: F.exp(m - F.array_max("_margins"))))
+        total = F.aggregate("_powers", F.lit(0.0), lambda a, p: a + p)
         names = F.array(*[F.lit(i) for i in lex.INTENTS])
-        labels = scored.select(
-            ID, F.get(names, F.col("prediction").cast("int")).alias("predicted_intent"),
-            vector_to_array("probability").alias("probabilities"))
-        return messages.join(labels, ID).withColumn(
-            "prediction_confidence", F.array_max("probabilities"))
+        best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+        return (
+            powers.withColumn("probabilities", F.transform("_powers", lambda p: p / total))
+            .withColumn("predicted_intent", F.get(names, best.cast("int")))
+            .withColumn("prediction_confidence", F.array_max("probabilities"))
+            .select(*messages.columns, "predicted_intent", "probabilities",
+                    "prediction_confidence"))
 
     def save(self, path: str) -> None:
         self.regression.write().overwrite().save(f"{path}/regression")
@@ -113,38 +158,45 @@ class IntentModel:
 
 
 def train_classifier(
-    train: DataFrame, folder: str, max_features: int = 1 << 20, max_iter: int = 2000,
+    train: DataFrame, folder: str, max_rows: int = 1_000_000, max_iter: int = 2000,
     tol: float = 1e-4,
 ) -> IntentModel:
-    """Fits the classifier on labelled messages.
+    """Fits the classifier on at most ``max_rows`` labelled messages, picked by hash.
 
-    The fitted vocabulary is written to ``folder`` once: its rows get fixed positions
-    that training, scoring and later runs share. ``max_features`` bounds the
-    coefficient matrix, which every iteration sends to all executors; below it the
-    vocabulary is whole. The penalty equals C = 1 over the summed loss.
+    The vocabulary of these rows is whole. It is written to ``folder`` once: its rows get
+    fixed positions that training, scoring and later runs share. The penalty equals C = 1
+    over the summed loss.
     """
     spark = train.sparkSession
-    labelled = known_labels(train)
+    labelled = materialize(bounded_rows(known_labels(train), max_rows), "labelled")
+    n = labelled.count()
+    if n == 0:
+        raise ValueError("no labelled rows to train on")
     counted = materialize(counted_terms(labelled), "training-terms")
-    by_df = tfidf.classifier_vocabulary(counted).orderBy(F.desc("df"), "term").limit(max_features)
-    position = F.row_number().over(W.orderBy(F.desc("df"), "term")) - 1
-    by_df.withColumn("position", position.cast("int")).write.mode("overwrite").parquet(folder)
+    stored = materialize(tfidf.classifier_vocabulary(counted), "vocabulary")
+    _placed(stored).write.mode("overwrite").parquet(folder)
     vocab = spark.read.parquet(folder)
     size = vocab.count()
 
     label = F.array_position(F.array(*[F.lit(i) for i in lex.INTENTS]), F.col("intent")) - 1
     weights = class_weights(labelled).select("intent", "weight")
-    weighted = labelled.select(ID, "intent").join(F.broadcast(weights), "intent")
-    rows = _with_features(weighted, counted, vocab, size).select(
-        label.cast("double").alias("label"), "weight", "features").persist()
-    try:
-        n = rows.count()
-        if n == 0:
-            raise ValueError("no labelled rows to train on")
-        regression = LogisticRegression(
-            family="multinomial", weightCol="weight", maxIter=max_iter, tol=tol, elasticNetParam=0.0,
-            regParam=1.0 / n, standardization=False)
-        parts = math.ceil(n / ROWS_PER_GRADIENT)
-        return IntentModel(regression.fit(rows.coalesce(parts)), vocab)
-    finally:
-        rows.unpersist()
+    weighted = labelled.select(ID, "intent").join(F.broadcast(weights), "intent").withColumn(
+        "label", label.cast("double"))
+    vectors = tfidf.unit_vectors(counted, vocab, ID, sublinear=True, key="position")
+    rows = _as_features(weighted, vectors, size)
+    regression = LogisticRegression(
+        family="multinomial", weightCol="weight", maxIter=max_iter, tol=tol, elasticNetParam=0.0,
+        regParam=1.0 / n, standardization=False)
+    parts = math.ceil(n / ROWS_PER_GRADIENT)
+    return IntentModel(regression.fit(rows.coalesce(parts)), vocab)
+
+
+def bounded_rows(labelled: DataFrame, most: int, seed: int = 17) -> DataFrame:
+    """At most ``most`` rows: those with the smallest hash of their id.
+
+    A bound on the hash thins the rows out before the few that are left are ordered.
+    """
+    mark = F.xxhash64(F.lit(seed), F.col(ID))
+    share = min(1.0, 1.2 * most / max(1, labelled.count()))
+    level = min(int(-(1 << 63) + share * ((1 << 64) - 1)), (1 << 63) - 1)
+    return labelled.filter(mark <= F.lit(level)).orderBy(mark, ID).limit(most)

@@ -65,7 +65,11 @@ def parse_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
     A text that holds no readable verdict stays as a row with ``parse_ok`` false.
     """
     corrupt = "_unreadable"
-    schema = T.StructType([*JUDGE_VERDICT.fields, T.StructField(corrupt, T.StringType())])
+    # Read as strings and cast: a judge may write 4, 4.0 or "4", and one odd field must not
+    # lose the others.
+    schema = T.StructType([
+        *[T.StructField(f.name, T.StringType()) for f in JUDGE_VERDICT.fields],
+        T.StructField(corrupt, T.StringType())])
     body = F.regexp_extract(F.coalesce(F.col(raw), F.lit("")), r"(?s)\{.*\}", 0)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
     parsed = staged(
@@ -76,7 +80,7 @@ def parse_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
     rest = [c for c in responses.columns if c != raw]
     return parsed.withColumn("parse_ok", ok).select(
         *rest, "parse_ok",
-        *[F.when(F.col("parse_ok"), F.col("_verdict")[f.name]).alias(f.name)
+        *[F.when(F.col("parse_ok"), F.col("_verdict")[f.name].try_cast(f.dataType)).alias(f.name)
           for f in JUDGE_VERDICT.fields])
 
 
@@ -99,7 +103,12 @@ def merged(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def judge_results(drafts: DataFrame, verdicts: DataFrame, golden: DataFrame) -> DataFrame:
-    """One row per judged reply: draft, decision, verdict and human labels."""
+    """One row per judged reply: draft, decision, verdict and human labels.
+
+    Of verdicts with a ``run`` column the last one of each id counts.
+    """
+    if "run" in verdicts.columns:
+        verdicts = latest(verdicts, "run")
     labels = golden.select(
         ID, F.col("review_status").alias("human_reviewed"), F.col("intent").alias("human_intent"),
         F.col("escalate").alias("human_escalate"))

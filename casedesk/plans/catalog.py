@@ -121,7 +121,8 @@ def _stream_triage(w: Workspace) -> DataFrame:
     """Runs the stream over the conversation files to its end and reads what it wrote."""
     folder = run_folder(w.spark, "triage")
     query = triage.start_triage(
-        triage.conversation_stream(w.spark, w.sf_dir), f"{folder}/out", f"{folder}/state")
+        triage.conversation_stream(w.spark, w.sf_dir), w.tweets, f"{folder}/out",
+        f"{folder}/state")
     query.awaitTermination()
     return w.spark.read.parquet(f"{folder}/out")
 

@@ -315,10 +315,12 @@ def _verdict_field(name: str, kind: str) -> str:
 
 def _judge() -> str:
     number = " || ', ' || ".join(
-        f"'\"{name}\": ' || cast(1 + (n + {i} + batch) % 5 as varchar)"
+        f"'\"{name}\": ' || case when (n + {i}) % 4 = 2 then '\"' else '' end"
+        f" || cast(1 + (n + {i} + batch) % 5 as varchar)"
+        f" || case (n + {i}) % 4 when 0 then '' when 1 then '.0' when 2 then '\"' else '.5' end"
         for i, name in enumerate(JUDGED_FIELDS))
     fields = ", ".join(
-        [_verdict_field(n, "integer") for n in JUDGED_FIELDS]
+        [_verdict_field(n, "double") for n in JUDGED_FIELDS]
         + [_verdict_field("unsupported_claims", "boolean"),
            _verdict_field("major_issue", "varchar"), _verdict_field("reasoning", "varchar")])
     return f"""
@@ -636,8 +638,9 @@ def oracle_sql() -> dict[str, str]:
             count(*) as n_total from reviewed""",
         "stream_triage": f"""select customer_tweet_id, intent, round(confidence, 6) as confidence,
             escalate_flag as escalate, escalation_rule from ({_escalation('(' + _silver(
-                "(select tweet_id as customer_tweet_id, '' as previous_context, text as customer_message "
-                "from tweets where inbound and text is not null)", 'intent', 'confidence') + ')',
+                "(select t.tweet_id as customer_tweet_id, p.text as previous_context, t.text as customer_message "
+                "from tweets t left join tweets p on p.tweet_id = t.in_response_to_tweet_id "
+                "where t.inbound and t.text is not null)", 'intent', 'confidence') + ')',
                 'intent', 'confidence')})""",
     }
     return {

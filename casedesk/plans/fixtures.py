@@ -16,9 +16,15 @@ JUDGED_FIELDS = JUDGE_SCORES
 def judge_responses(messages: DataFrame) -> DataFrame:
     """Two batches of raw responses per message: clean, fenced, in prose, or cut off."""
     n, batch = F.col("n"), F.col("batch")
+    def score(i):
+        """A whole number, one with a decimal, a quoted one, or a half."""
+        value, form = (1 + (n + i + batch) % 5).cast("string"), (n + i) % 4
+        return (F.when(form == 0, value).when(form == 1, F.concat(value, F.lit(".0")))
+                .when(form == 2, F.concat(F.lit('"'), value, F.lit('"')))
+                .otherwise(F.concat(value, F.lit(".5"))))
+
     scores = F.concat_ws(", ", *[
-        F.concat(F.lit(f'"{name}": '), (1 + (n + i + batch) % 5).cast("string"))
-        for i, name in enumerate(JUDGED_FIELDS)])
+        F.concat(F.lit(f'"{name}": '), score(i)) for i, name in enumerate(JUDGED_FIELDS)])
     body = F.concat(
         F.lit("{"), scores, F.lit(', "unsupported_claims": '),
         F.when(n % 3 == 0, "true").otherwise("false"),

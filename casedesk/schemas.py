@@ -35,12 +35,12 @@ EVALUATION_COLUMNS = (
 JUDGE_SCORES = (
     "relevance", "groundedness", "helpfulness", "brand_consistency", "safety", "overall")
 JUDGE_VERDICT = _schema(
-    **{name: _I for name in JUDGE_SCORES}, unsupported_claims=_B, major_issue=_S, reasoning=_S)
+    **{name: _D for name in JUDGE_SCORES}, unsupported_claims=_B, major_issue=_S, reasoning=_S)
 
 # One judged reply as kept in a CSV file.
 JUDGE_RESULTS = _schema(
     customer_tweet_id=_L, customer_message=_S, intent=_S, confidence=_D, generated_reply=_S,
-    escalate=_B, escalation_reason=_S, **{name: _I for name in JUDGE_SCORES},
+    escalate=_B, escalation_reason=_S, **{name: _D for name in JUDGE_SCORES},
     unsupported_claims=_B, major_issue=_S, reasoning=_S, human_reviewed=_S, human_intent=_S,
     human_escalate=_S)
 

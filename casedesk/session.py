@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,7 +78,23 @@ def run_folder(spark: SparkSession, name: str, folder: str | None = None) -> str
     if root not in _USED:
         _USED[root] = spark
         atexit.register(_clear, root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Stored stages made inside go at the end, for work that repeats without end."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -86,6 +104,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 _USED: dict[str, SparkSession] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def _clear(root: str) -> None:

@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# Quoted records may hold line breaks and doubled quotes.
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+# Doubled quotes stand for a quote inside a quoted field.
+_CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a declared schema; columns are matched by position."""
-    return spark.read.options(**_CSV, enforceSchema=True).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+             timestamp_format: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header, as the columns of the schema by name, in any order in the file.
 
+    A missing column is an error. A value that its column's type can't hold becomes null.
+    ``timestamp_format`` is how timestamps are written. Quoted records may hold line breaks;
+    a file that has none is read in parts with ``multi_line=False``.
+    """
+    df = require_columns(read_csv_strings(spark, path, multi_line), schema.names)
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
+    def typed(field: T.StructField):
+        column = F.col(f"`{field.name}`")
+        if timestamp_format and isinstance(field.dataType, T.TimestampType):
+            return F.try_to_timestamp(column, F.lit(timestamp_format)).alias(field.name)
+        return column.try_cast(field.dataType).alias(field.name)
+
+    return df.select(*[typed(field) for field in schema.fields])
+
+
+def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with every column as a string, named by the header; a BOM is dropped."""
-    df = spark.read.options(**_CSV, inferSchema=False, encoding="UTF-8").csv(path)
-    return df.toDF(*[name.lstrip("﻿").strip('"') for name in df.columns])
+    df = spark.read.options(
+        **_CSV, multiLine=multi_line, inferSchema=False, encoding="UTF-8").csv(path)
+    return df.toDF(*[name.lstrip("\ufeff").strip('"') for name in df.columns])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,9 +1,13 @@
+from pathlib import Path
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from casedesk.functions import lexicons as lex
-from casedesk.operators import agent, classifier, replies
+from casedesk.operators import agent, classifier, replies, tfidf
 from casedesk.plans.workspace import Workspace
+from casedesk.session import run_folder
 from casedesk.streaming import triage
 
 
@@ -60,9 +64,16 @@ def test_own_scorer(spark, workspace):
     assert {(r.predicted_intent, r.confidence) for r in rows} == {("battery_power", 0.5)}
 
 
-def test_agent_answers_every_open_message(workspace):
+def test_golden_rows_stay_out_of_the_index(workspace):
+    golden = workspace.stored_golden
+    assert golden.count() > 0
+    assert workspace.index.cases.join(
+        golden, workspace.index.cases["case_id"] == golden["customer_tweet_id"]).count() == 0
+
+
+def test_agent_answers_every_evaluation_message(workspace):
     rows = workspace.answered.collect()
-    assert len(rows) == workspace.stored_open.count()
+    assert len(rows) == workspace.stored_golden.count()
     assert all(r.generated_reply and r.escalation_reason for r in rows)
     scores = workspace.scored.select("grounding_score").collect()
     assert all(0 <= r[0] <= 1 for r in scores)
@@ -71,19 +82,63 @@ def test_agent_answers_every_open_message(workspace):
 def test_stream_equals_batch_and_restart_adds_nothing(spark, workspace, small_dir, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for _ in range(2):
-        triage.start_triage(triage.conversation_stream(spark, small_dir), out, state).awaitTermination()
+        triage.start_triage(
+            triage.conversation_stream(spark, small_dir), workspace.tweets, out, state).awaitTermination()
     streamed = sorted(map(tuple, spark.read.parquet(out).collect()))
-    assert streamed == sorted(map(tuple, triage.triage(workspace.tweets).collect()))
+    assert streamed == sorted(map(tuple, triage.triage(workspace.tweets, workspace.tweets).collect()))
 
 
 def test_stream_replies_equal_batch(spark, workspace, tmp_path):
     messages = tmp_path / "messages"
-    workspace.stored_open.write.parquet(str(messages))
-    stream = spark.readStream.schema(workspace.stored_open.schema).parquet(str(messages))
-    triage.start_replies(stream, workspace.index, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    streamed = spark.read.parquet(str(tmp_path / "out")).select("customer_tweet_id", "generated_reply")
-    batch = workspace.answered.select("customer_tweet_id", "generated_reply")
-    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+    workspace.stored_golden.write.parquet(str(messages))
+    stream = spark.readStream.schema(workspace.stored_golden.schema).parquet(str(messages))
+    index = workspace.index
+    columns = ["customer_tweet_id", "intent", "confidence", "reply", "escalate_to_human"]
+    batch = agent.agent_decisions(workspace.answered).select(columns).collect()
+    root = tmp_path_of(spark)
+    before = set(root.iterdir())
+    triage.start_replies(stream, index, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert set(root.iterdir()) == before
+    streamed = spark.read.parquet(str(tmp_path / "out")).select(columns).collect()
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch))
+
+
+def tmp_path_of(spark):
+    return Path(run_folder(spark, "x")).parent
+
+
+def test_scoring_by_join_equals_spark_ml_at_the_optimum(spark, workspace, tmp_path):
+    train = classifier.silver_train(workspace.stored_pairs)
+    model = classifier.train_classifier(train, str(tmp_path / "vocabulary"), tol=1e-9)
+    labelled = classifier.known_labels(train)
+    vectors = tfidf.unit_vectors(
+        classifier.counted_terms(labelled), model.vocab, classifier.ID, sublinear=True, key="position")
+    weights = {r.intent: r.weight for r in classifier.class_weights(labelled).collect()}
+    rows = labelled.join(vectors, classifier.ID, "left").select(
+        classifier.ID, "intent", "vector").collect()
+    found = {r.customer_tweet_id: r.probabilities for r in model.predict(labelled).collect()}
+    coefficients, shift = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    n_classes, n = len(shift), len(rows)
+    slope = coefficients / n
+    total = sum(weights[r.intent] for r in rows)
+    for r in rows:
+        x = np.zeros(coefficients.shape[1])
+        for entry in r.vector or []:
+            x[entry.position] = entry.weight
+        margins = coefficients @ x + shift
+        p = np.exp(margins - margins.max())
+        p /= p.sum()
+        assert np.allclose(p, found[r.customer_tweet_id], atol=1e-9)
+        target = np.eye(n_classes)[lex.INTENTS.index(r.intent)]
+        slope = slope + weights[r.intent] * np.outer(p - target, x) / total
+    assert abs(slope).max() < 1e-4
+
+
+def test_rows_of_the_fit_are_bounded(workspace):
+    train = classifier.known_labels(classifier.silver_train(workspace.stored_pairs))
+    few = classifier.bounded_rows(train, 7).collect()
+    assert len(few) == 7 and few == classifier.bounded_rows(train, 7).collect()
+    assert classifier.bounded_rows(train, 10_000).count() == train.count()
 
 
 def test_judging_resumes(spark, workspace, tmp_path):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import types as T
 
 from casedesk import schemas
 from casedesk.sources import files
@@ -11,8 +12,23 @@ def test_csv_with_line_breaks_quotes_and_bom(spark, tmp_path):
     assert df.columns == ["customer_tweet_id", "raw"]
     assert [tuple(r) for r in df.collect()] == [
         ("1", 'two\nlines, "quoted"'), ("2", "plain"), ("3", None)]
-    typed = files.read_csv(spark, str(path), schemas.all_strings(["id", "raw"]).add("extra", "integer"))
-    assert typed.count() == 3
+    typed = files.read_csv(spark, str(path), schemas.all_strings(["raw", "customer_tweet_id"]))
+    assert typed.columns == ["raw", "customer_tweet_id"]
+    assert [r.customer_tweet_id for r in typed.collect()] == ["1", "2", "3"]
+    with pytest.raises(ValueError, match="extra"):
+        files.read_csv(spark, str(path), schemas.all_strings(["raw", "extra"]))
+
+
+def test_csv_columns_by_name_and_type(spark, tmp_path):
+    path = tmp_path / "typed.csv"
+    path.write_text("created_at,text,customer_tweet_id\n"
+                    "2017-10-31 22:10:47 +0000,hello,7\nnever,x,many\n", encoding="utf-8")
+    rows = files.read_csv(
+        spark, str(path), T.StructType.fromDDL(
+            "customer_tweet_id long, text string, created_at timestamp"),
+        "yyyy-MM-dd HH:mm:ss Z", multi_line=False).collect()
+    assert [(r.customer_tweet_id, r.text) for r in rows] == [(7, "hello"), (None, "x")]
+    assert [r.created_at is None for r in rows] == [False, True]
 
 
 def test_csv_round_trip(spark, tmp_path):

@@ -10,6 +10,15 @@ RESPONSES = [
     (1, BODY, True), (2, f"```json\n{BODY}\n```", True), (3, f"```\n{BODY}```", True),
     (4, f"Sure! {BODY} Bye.", True), (5, BODY[:40], False), (6, "", False), (7, None, False),
     (8, '{"relevance": 4,, }', False)]
+FORMS = [('{"overall": 4.0}', 4.0), ('{"overall": "4"}', 4.0), ('{"overall": 4.5}', 4.5),
+         ('{"overall": null}', None), ('{"overall": "good"}', None), ('{}', None)]
+
+
+def test_numbers_of_any_form(spark):
+    df = spark.createDataFrame([(i, f[0]) for i, f in enumerate(FORMS)],
+                               "customer_tweet_id long, raw string")
+    rows = judging.parse_verdicts(df).orderBy("customer_tweet_id").collect()
+    assert [(r.parse_ok, r.overall) for r in rows] == [(True, f[1]) for f in FORMS]
 
 
 def test_parse(spark):
