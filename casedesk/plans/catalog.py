@@ -134,10 +134,7 @@ def _intent_predictions(w: Workspace) -> DataFrame:
 
 def _intent_model_eval(w: Workspace) -> DataFrame:
     """Report of the trained model on the evaluation sample, which it has not seen."""
-    sample = w.labelled(sampling.golden_set(w.stored_pairs, GOLDEN_SIZE).select(
-        ID, "previous_context", "customer_message"))
-    predicted = w.evaluated_model.predict(sample, "merged").drop("probabilities")
-    return evaluation.intent_report(predicted)
+    return evaluation.intent_report(w.model_predicted)
 
 
 def _agent_decisions(w: Workspace) -> DataFrame:
@@ -222,6 +219,14 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
         _silver_train(w)),
     "intent_predictions": _intent_predictions,
     "intent_model_eval": _intent_model_eval,
+    "model_accuracy": lambda w: evaluation.accuracy_comparison(
+        rules.with_baseline_intent(w.model_predicted)),
+    "model_results": lambda w: _rounded(
+        evaluation.evaluation_results(w.model_predicted), "prediction_confidence"),
+    "model_mistakes": lambda w: _rounded(
+        evaluation.mistakes(w.model_predicted), "prediction_confidence"),
+    "model_confidence_stats": lambda w: evaluation.confidence_stats(w.model_predicted),
+    "model_confidence_coverage": lambda w: evaluation.confidence_coverage(w.model_predicted),
     "agent_decisions": _agent_decisions,
     # judge and review
     "judge_requests": lambda w: judging.judge_requests(w.answered),

@@ -128,3 +128,9 @@ class Workspace:
     def evaluated_model(self) -> classifier.IntentModel:
         """Model trained on the pairs outside the evaluation sample."""
         return self._trained(sampling.golden_set(self.stored_pairs, GOLDEN_SIZE))
+
+    @cached_property
+    def model_predicted(self) -> DataFrame:
+        """The labelled evaluation set with the predictions of a model that has not seen it."""
+        return materialize(self.evaluated_model.predict(
+            self.labelled(self.stored_golden), "merged").drop("probabilities"), "model-predicted")
