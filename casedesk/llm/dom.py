@@ -18,6 +18,7 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 INSIDE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
           "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol dl table menu".split())
+SECTIONS = frozenset("article main aside nav footer header form section noscript".split())
 NO_PARAGRAPH = BLOCK - frozenset("body html button label option select textarea".split())
 
 TAG = re.compile(r"<(?:!--(?P<comment>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
@@ -29,7 +30,11 @@ TOKEN = re.compile(r"[a-z]+")
 
 @dataclass
 class Place:
-    """A chain of open elements."""
+    """A chain of open elements.
+
+    Its features name all elements of the chain (``in:``, ``is:``) and the innermost one that
+    says what it is by its tag or by its class, id or role (``near:``).
+    """
 
     tag: str
     parent: Place | None
@@ -45,9 +50,13 @@ class Place:
             own = {f"in:{tag}"}
             for _, a, b, c in NAMED.findall(attrs):
                 own |= {f"is:{t}" for t in TOKEN.findall((a or b or c).lower())}
+            known = {f[3:] for f in own if f.startswith("is:")} | ({tag} & SECTIONS)
+            near = {f"near:{name}" for name in known} or {
+                f for f in self.features if f.startswith("near:")}
             if HIDDEN.search(attrs):
                 own.add("hidden")
-            found = Place(tag, self, self.features | own, tag in BLOCK,
+            above = {f for f in self.features if not f.startswith("near:")}
+            found = Place(tag, self, frozenset(above | own | near), tag in BLOCK,
                           self.shown and tag not in UNSHOWN, self.link or tag == "a")
             if len(self.below) < 2_000:  # attributes of no interest may differ without end
                 self.below[tag, attrs] = found
