@@ -31,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK = 32
 SHARD_WORDS = 32_768
-MAX_SHARDS = 4_096  # of one source; beyond that its shards grow
+MAX_SHARDS = 1 << 20  # of one source, as many as one task apportions; beyond that shards grow
 MAX_SOURCES = 1_000_000
 BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
