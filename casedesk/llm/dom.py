@@ -21,8 +21,11 @@ LISTS = frozenset("ul ol dl table menu".split())
 SECTIONS = frozenset("article main aside nav footer header form section noscript".split())
 NO_PARAGRAPH = BLOCK - frozenset("body html button label option select textarea".split())
 
+# Quotes hold a value only behind an equals sign, as browsers read it; elsewhere they are letters, and
+# so is one that never closes.
 TAG = re.compile(r"<(?:!--(?P<comment>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
-                 r"(?P<attrs>(?:\"[^\"]{0,5000}\"|'[^']{0,5000}'|[^>])*+)>|[!?/][^>]*+>)")
+                 r"(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"
+                 r"\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)?+)?+)*+)>|[!?/][^>]*+>)")
 NAMED = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 TOKEN = re.compile(r"[a-z]+")
@@ -58,7 +61,8 @@ class Place:
             above = {f for f in self.features if not f.startswith("near:")}
             found = Place(tag, self, frozenset(above | own | near), tag in BLOCK,
                           self.shown and tag not in UNSHOWN, self.link or tag == "a")
-            if len(self.below) < 2_000:  # attributes of no interest may differ without end
+            # Attributes of no interest may differ without end, and be of any length.
+            if len(self.below) < 2_000 and len(attrs) <= 1_000:
                 self.below[tag, attrs] = found
         return found
 
@@ -81,6 +85,7 @@ def leaves(page: str, top: Place) -> list[Leaf]:
     out: list[Leaf] = []
     parts: list[tuple[str, bool]] = []
     place, block, at, n = top, top, 0, len(page)
+    last = page.rfind(">") + 1  # with no tag behind it, none is read in vain up to the end
 
     def close() -> None:
         if parts:
@@ -95,9 +100,10 @@ def leaves(page: str, top: Place) -> list[Leaf]:
             parts.append((html.unescape(raw) if "&" in raw else raw, place.link))
 
     while at < n:
-        found = TAG.search(page, at)
+        found = TAG.search(page, at, last)
         if not found:
-            add(page[at:])
+            stop = page.find("<!--", at)  # a comment needs no end
+            add(page[at:] if stop < 0 else page[at:stop])
             break
         add(page[at:found.start()])
         at = found.end()

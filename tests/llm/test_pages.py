@@ -98,6 +98,29 @@ def test_article_text(spark, field):
     assert got[4].n_chars == 50_000 * 11 - 1
 
 
+def texts_of(page):
+    return [leaf.text for leaf in dom.leaves(page, dom.root())]
+
+
+@pytest.mark.parametrize("quote", "\"'")
+def test_long_attribute_values(quote):
+    value = f"{quote}data:image/png;base64,{'A>b/' * 25_000}{quote}"
+    page = (f"<p>First.</p><img alt={quote}x{quote} src={value}><p class={quote}a{quote}>Second."
+            f"</p><div data-x = {value} id={quote}b{quote}>Third.</div><p>Last.</p>")
+    assert texts_of(page) == ["First.", "Second.", "Third.", "Last."]
+
+
+def test_stray_quotes():
+    assert texts_of("""<p title="a"" id=x>One.</p><p class=it's>Don't.</p><p lang=en'>Two's.</p>""") \
+        == ["One.", "Don't.", "Two's."]
+    assert texts_of('<p title="a>One.</p><p>Two.</p>') == ["One.", "Two."]
+    assert texts_of("<p>One.</p><!-- no end") == ["One."]
+    assert texts_of("<p>Two.</p><!---->3 < 4 <b") == ["Two.", "3 < 4 <b"]
+    for part in ("<a ", "<a x='", '<a x="', "<a x=\"y' ", "<a x = ", "='"):
+        dom.leaves("<p>" + part * 200_000, dom.root())
+        dom.leaves("<p>" + part * 200_000 + ">", dom.root())
+
+
 URLS = [("http://Sub.Example.NET/en/1?q=1", "sub.example.net", "/en/1", "example.net/en/", "allow"),
         ("http://example.net/de/1", "example.net", "/de/1", "net/", "block"),
         ("http://badexample.com/de/", "badexample.com", "/de/", None, "allow"),
