@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSHOWN = frozenset("script style template iframe object svg canvas audio video math head title "
-                    "noembed noframes select option textarea datalist".split())
+UNSHOWN = frozenset("script style template iframe object canvas audio video head title noembed "
+                    "noframes select option textarea datalist".split())
+UNSHOWN_IN = {"math": frozenset(("annotation", "annotation-xml")),
+              "svg": frozenset(("desc", "metadata"))}
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog "
                   "dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
                   "header hgroup hr html label legend li main menu nav noscript ol option p pre "
@@ -59,8 +61,10 @@ class Place:
             if HIDDEN.search(attrs):
                 own.add("hidden")
             above = {f for f in self.features if not f.startswith("near:")}
-            found = Place(tag, self, frozenset(above | own | near), tag in BLOCK,
-                          self.shown and tag not in UNSHOWN, self.link or tag == "a")
+            shown = self.shown and tag not in UNSHOWN and not any(
+                tag in names and f"in:{outer}" in above for outer, names in UNSHOWN_IN.items())
+            found = Place(tag, self, frozenset(above | own | near), tag in BLOCK, shown,
+                          self.link or tag == "a")
             # Attributes of no interest may differ without end, and be of any length.
             if len(self.below) < 2_000 and len(attrs) <= 1_000:
                 self.below[tag, attrs] = found
@@ -137,6 +141,8 @@ def leaves(page: str, top: Place) -> list[Leaf]:
             block = _block_of(place)
             continue
         attrs = found["attrs"]
+        if name == "text":  # a label of a drawing
+            add(" ")
         place = place.child(name, attrs)
         block = _block_of(place)
         if attrs.endswith("/") and name not in BLOCK:

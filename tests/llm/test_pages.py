@@ -121,6 +121,14 @@ def test_stray_quotes():
         dom.leaves("<p>" + part * 200_000 + ">", dom.root())
 
 
+def test_formulas_and_drawings():
+    page = ("<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow>"
+            "<annotation encoding=tex>x = 2</annotation></semantics></math> holds.</p>"
+            "<svg><title>No</title><desc>No</desc><text>Jan</text><text>Feb</text></svg>"
+            "<p>In <annotation>full</annotation>.</p>")
+    assert texts_of(page) == ["So x=2 holds.", "Jan Feb", "In full."]
+
+
 URLS = [("http://Sub.Example.NET/en/1?q=1", "sub.example.net", "/en/1", "example.net/en/", "allow"),
         ("http://example.net/de/1", "example.net", "/de/1", "net/", "block"),
         ("http://badexample.com/de/", "badexample.com", "/de/", None, "allow"),
