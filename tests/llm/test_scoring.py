@@ -75,6 +75,40 @@ def test_toxicity_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert toxicity.clean_documents(odd_docs, none).count() == len(odd_rows)
 
 
+def test_only_near_copies_of_the_same_label_are_dropped(spark):
+    r, rows, sets, kept = random.Random(12), [], {}, []
+    boilerplate = words(r, 60, 5_000)
+    for i in range(40):
+        base = words(r, 100, 5_000)
+        own = [base, base] + [base.split() for _ in range(5)]
+        for k, text in enumerate(own[2:]):  # from far to near
+            for _ in range((12, 8, 5, 3, 1)[k]):
+                text[r.randrange(len(text))] = f"new{r.randrange(10**6)}"
+            own[2 + k] = " ".join(text)
+        own.append(f"{boilerplate} {words(r, 60, 5_000)}")
+        rows += [(len(rows) + k, r.randrange(2), text) for k, text in enumerate(own)]
+    rows += [(10_000, 0, "one two"), (10_001, 0, "one two"), (10_002, 1, ""), (10_003, 1, None)]
+    for n, toxic, text in rows:
+        w = (text or "").split()
+        sets[n] = {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+        if not any(toxic == t and len(sets[n] & sets[m]) >= 0.8 * len(sets[n] | sets[m]) > 0
+                   for m, t in kept):
+            kept.append((n, toxic))
+    sample = spark.createDataFrame(rows, "n long, toxic int, text string").repartition(3)
+    dropped = {x.n for x in toxicity.near_copies(sample).collect()}
+    assert dropped == set(sets) - {n for n, _ in kept} and len(dropped) > 40
+
+
+def test_shared_passages_drop_no_example(spark):
+    r = random.Random(13)
+    passage = words(r, 60, 5_000)
+    rows = [(i, f"{passage} {words(r, 40, 5_000)} {('fine', 'vile')[i % 2]}") for i in range(200)]
+    index = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"),
+                           spark.createDataFrame([(i, i % 2) for i, _ in rows],
+                                                 "doc_id long, toxic int"))
+    assert sorted(index.ids) == [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+
+
 # --- vectors
 
 def vector_rows():
