@@ -2,10 +2,11 @@
 
 Only vectors of equal, non-null label and equal length are compared, by cosine in double precision.
 Equal vectors are one node with a number of copies. Centroids are fitted to a sample of at most
-``SAMPLE`` vectors; every vector is assigned: its nearest cell is its home, and it probes its
-``PROBES`` nearest cells. A pair is found where one of the two probes the other's home, and counted in
-one such cell only. That makes a link between vectors of different homes likely, not certain; the
-README has the measured recall. No pair below the threshold is linked.
+``SAMPLE`` vectors; every vector is assigned: its nearest cell is its home. Two vectors of different
+homes lie on either side of the plane between the two centroids, and linked ones are at most the
+threshold's angle apart, so one of them is within half that angle of the plane. A vector therefore
+probes every cell to whose plane it is that close, which loses no link. A pair is found where one of
+the two probes the other's home, and counted in one such cell only.
 
 The vectors of a label and cell are cut into tiles of about ``TILE``, and tile by tile the products of
 home vectors with all vectors of the cell are formed, so a cell that holds a third of the rows
@@ -35,7 +36,6 @@ SAMPLE = 32_768
 CELL_ROWS = 1_000  # vectors a cell should hold, all labels together
 MOST_CELLS = 4_096
 ROUNDS = 12
-PROBES = 6
 TILE = 1_024
 
 
@@ -97,25 +97,41 @@ def centroids(vectors: DataFrame, dim: int, n: int) -> np.ndarray:
     return k_means(sample, cells)
 
 
-def _cells(centres: np.ndarray):
+def _probed(vectors: np.ndarray, centres: np.ndarray, threshold: float,
+            ) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Home of each unit vector, and the cells it probes, its home among them."""
+    cosines = vectors @ centres.T
+    home = np.argmax(cosines, 1)
+    own, which = np.unique(home, return_inverse=True)
+    squares = (centres * centres).sum(1)
+    apart = np.sqrt(np.maximum(
+        squares[own, None] + squares - 2 * (centres[own] @ centres.T), 0))
+    # Sine of half the threshold's angle, rounded up: a probe too many does no harm.
+    reach = np.sqrt(max(0.0, (1 - threshold) / 2)) + 1e-6
+    near = cosines[np.arange(len(home)), home][:, None] - cosines <= reach * apart[which] + 1e-6
+    return home, np.split(np.nonzero(near)[1], np.cumsum(near.sum(1))[:-1])
+
+
+def _cells(centres: np.ndarray, threshold: float):
     """Adds home and probed cells."""
-    dim, probes = centres.shape[1], min(PROBES, len(centres))
+    dim = centres.shape[1]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             dims = b.column(2).to_numpy(zero_copy_only=False)
-            lists: list[list[int]] = [[-1]] * b.num_rows
+            homes = np.full(b.num_rows, -1)
+            lists: list = [[-1]] * b.num_rows
             own = np.flatnonzero(dims == dim)
-            for part in np.array_split(own, 1 + len(own) // 4096):
+            for part in np.array_split(own, 1 + len(own) // 512):
                 if len(part):
                     v = np.frombuffer(b"".join(b.column(3).take(pa.array(part)).to_pylist()))
-                    near = np.argsort(-(v.reshape(-1, dim) @ centres.T), 1, kind="stable")
-                    for i, cells in zip(part, near[:, :probes].tolist(), strict=True):
-                        lists[i] = cells
+                    homes[part], cells = _probed(v.reshape(-1, dim), centres, threshold)
+                    for i, probed in zip(part, cells, strict=True):
+                        lists[i] = probed
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([c[0] for c in lists], pa.int32()),
+                [*b.columns, pa.array(homes, pa.int32()),
                  pa.array(lists, pa.list_(pa.int32()))],
                 names=["node", "label", "dim", "body", "copies", "home", "probed"])
     return emit
@@ -198,7 +214,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                               F.col("node").alias("near"))
     centres = centroids(vectors, sizes.dim, sizes["count"])
     placed = materialize(vectors.select("node", "label", "dim", "body", "copies")
-                         .mapInArrow(_cells(centres), schema), "cells")
+                         .mapInArrow(_cells(centres, threshold), schema), "cells")
     rows = placed.withColumn("cell", F.explode("probed"))
     key = ["label", "dim", "cell"]
     blocks = (rows.groupBy(key).count()

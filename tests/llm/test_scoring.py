@@ -159,6 +159,22 @@ def test_recall_of_links(spark):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_no_link_is_lost_between_hundreds_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10)
+    r = np.random.default_rng(21)
+    base = r.normal(size=(1_500, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    aside = r.normal(size=base.shape)
+    aside -= (aside * base).sum(1)[:, None] * base
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    rows = np.concatenate((base, 0.935 * base + np.sqrt(1 - 0.935 ** 2) * aside))
+    want = (rows @ rows.T >= 0.93).sum(1) - 1
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)],
+                                  "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: x.n_links for x in vectors.near_duplicates(table).collect()}
+    assert [got[i] for i in range(len(rows))] == want.tolist() and want.min() >= 1
+
+
 # --- mixing
 
 def test_mix(odd_docs, odd_rows, no_docs):
