@@ -26,7 +26,6 @@ Tables without rows give none. Only the named columns are read, so others do no
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -45,6 +44,7 @@ LANES = 16
 BASE = 1.3
 SALTS = 16
 GEMM = 256  # queries scored together against the children of a root
+ROUND = 8  # nodes expanded in a query's first round through a tree
 EXACT = float(1 << 53)
 
 POINT = "id long, label string, anchor boolean, dim int, body binary"
@@ -151,7 +151,9 @@ class Tree:
         self.first, self.children, self.angle = (
             rows.column(c).to_numpy() for c in ("first", "children", "angle"))
         self.length = rows.column("length")[0].as_py()
-        self.labels = np.array(rows.column("label").to_pylist(), object)
+        codes = rows.column("label").combine_chunks().dictionary_encode()
+        self.codes = {label: i for i, label in enumerate(codes.dictionary.to_pylist())}
+        self.label = codes.indices.to_numpy()
         self.ids = rows.column("id").to_pylist()
         self.copies = rows.column("copies").to_numpy()
 
@@ -177,7 +179,7 @@ class Block:
         self.floor = [x.copy() for x in self.low]
         self.best: list[list[list[tuple]]] = [[[] for _ in x] for x in self.low]
 
-    def _scores(self, tree: Tree, nodes: slice, queries) -> np.ndarray:
+    def _scores(self, tree: Tree, nodes, queries) -> np.ndarray:
         """Exact scores, by floating point where that is exact."""
         if self.dim * self.most * tree.most < EXACT:
             return tree.points[nodes] @ self.queries[queries].T
@@ -202,25 +204,26 @@ class Block:
         return (self.same and tree.ids[node] == self.ids[i]
                 and bool((tree.whole[node] == self.whole[i]).all()))
 
-    def _take(self, i: int, tree: Tree, scores: np.ndarray, start: int) -> None:
-        """Offers candidates from node ``start`` on to the windows of query i."""
+    def _take(self, i: int, tree: Tree, scores: np.ndarray, nodes: np.ndarray) -> None:
+        """Offers the candidates at some nodes to the windows of query i."""
         floor, high = self.floor[i], self.high[i]
-        own = tree.labels[start: start + len(scores)] == self.labels[i]
-        at = np.flatnonzero((scores >= floor.min()) & (scores <= high.max()) & (own == self.same))
+        at = np.flatnonzero((scores >= floor.min()) & (scores <= high.max()))
+        if len(at) and len(tree.codes) > 1:
+            at = at[(tree.label[nodes[at]] == tree.codes.get(self.labels[i], -1)) == self.same]
         if not len(at):
             return
-        scores = scores[at].astype(np.int64)
+        scores, nodes = scores[at].astype(np.int64), nodes[at]
         for w in range(len(floor)):
             fits = np.flatnonzero((scores >= floor[w]) & (scores <= high[w]))
             if not len(fits):
                 continue
+            best = self.best[i][w]
             spare = len(fits) - self.k - self.same  # one of them may be the query itself
             if spare > 0:
                 least = np.partition(scores[fits], spare)[spare]
                 fits = fits[scores[fits] >= least]
-            best = self.best[i][w]
             for j in fits:
-                node = start + int(at[j])
+                node = nodes[j]
                 copies = int(tree.copies[node]) - self._itself(i, tree, node)
                 if copies:
                     best.append((-int(scores[j]), tree.ids[node] is None, tree.ids[node] or 0,
@@ -231,44 +234,48 @@ class Block:
                 floor[w] = max(floor[w], -best[-1][0])
 
     def descend(self, tree: Tree) -> None:
-        labels = set(tree.labels)
+        """Takes every query that the tree can answer through it."""
         able = [i for i in range(len(self.keys)) if len(self.low[i]) and
-                (self.labels[i] in labels if self.same else labels != {self.labels[i]})]
+                (self.labels[i] in tree.codes if self.same
+                 else set(tree.codes) != {self.labels[i]})]
+        top = np.arange(1 + int(tree.children[0]))
         for part in np.array_split(np.array(able, int), 1 + len(able) // GEMM):
             if not len(part):
                 continue
-            root = self._scores(tree, slice(0, 1), part)[0]
-            least, most = self._bounds(tree, root, self.norms[part], slice(0, 1))
+            root = self._scores(tree, top[:1], part)[0]
+            least, most = self._bounds(tree, root, self.norms[part], top[:1])
             into = np.array([self._wanted(i, least[j: j + 1], most[j: j + 1])[0]
                              for j, i in enumerate(part)])
-            part, root = part[into], root[into]
-            end = 1 + int(tree.children[0])
-            scores = self._scores(tree, slice(1, end), part)
+            part = part[into]
+            scores = self._scores(tree, top, part)
             for j, i in enumerate(part):
-                self._take(i, tree, np.concatenate((root[j: j + 1], scores[:, j])), 0)
-                self._best_first(i, tree, scores[:, j], 1)
+                self._best_first(i, tree, scores[:, j], top)
+
+    def _best_first(self, i: int, tree: Tree, scores: np.ndarray, nodes: np.ndarray) -> None:
+        """Expands the nodes that still matter, those with the greatest bounds first.
 
-    def _best_first(self, i: int, tree: Tree, scores: np.ndarray, start: int) -> None:
-        """Expands the nodes that still matter, those with the greatest bound first."""
-        heap: list[tuple] = []
+        A round expands more nodes than the one before: where bounds tell little apart, few
+        rounds are left to do.
+        """
+        most, least, open_ = np.zeros(0), np.zeros(0), np.zeros(0, int)
+        step = ROUND
         while True:
-            inner = np.flatnonzero(tree.children[start: start + len(scores)])
-            if len(inner):
-                least, most = self._bounds(tree, scores[inner], self.norms[i], start + inner)
-                for j in np.flatnonzero(self._wanted(i, least, most)):
-                    heapq.heappush(heap, (-most[j], start + int(inner[j]), least[j]))
-            while heap:
-                most, node, least = heapq.heappop(heap)
-                if -most < self.floor[i].min():
-                    return
-                if self._wanted(i, [least], [-most])[0]:
-                    break
-            else:
+            self._take(i, tree, scores, nodes)
+            inner = np.flatnonzero((tree.children[nodes] > 0) & ((nodes > 0)))
+            low, high = self._bounds(tree, scores[inner], self.norms[i], nodes[inner])
+            most, least = np.concatenate((most, high)), np.concatenate((least, low))
+            open_ = np.concatenate((open_, nodes[inner]))
+            keep = self._wanted(i, least, most)
+            most, least, open_ = most[keep], least[keep], open_[keep]
+            if not len(open_):
                 return
-            start = int(tree.first[node])
-            scores = self._scores(
-                tree, slice(start, start + int(tree.children[node])), slice(i, i + 1))[:, 0]
-            self._take(i, tree, scores, start)
+            order = np.argsort(-most)
+            most, least, open_ = most[order], least[order], open_[order]
+            first, sizes = tree.first[open_[:step]], tree.children[open_[:step]]
+            most, least, open_ = most[step:], least[step:], open_[step:]
+            nodes = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            scores = self._scores(tree, nodes, slice(i, i + 1))[:, 0]
+            step *= 2
 
     def found(self) -> Iterator[pa.RecordBatch]:
         rows = [(key, place, None if no_id else other, -score, copies)
@@ -285,7 +292,7 @@ class Block:
 def _search(k: int, same: bool):
     """Answers of blocks of queries: rows sorted by task, queries before trees."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
+        block, task = None, None
         for table in runs(batches, 3):
             cuts = np.concatenate(([0], changes(table, 3), [table.num_rows]))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -294,8 +301,8 @@ def _search(k: int, same: bool):
                 if rows.column("kind")[0].as_py() == 0:
                     if block:
                         yield from block.found()
-                    block = Block(rows, dim, k, same)
-                else:
+                    block, task = Block(rows, dim, k, same), rows.column("task")[0].as_py()
+                elif rows.column("task")[0].as_py() == task:  # else no query fell to this task
                     block.descend(Tree(rows, dim))
         if block:
             yield from block.found()
@@ -342,8 +349,8 @@ def _answers(trees: DataFrame, queries: DataFrame, k: int, same: bool) -> DataFr
 
 def _percent(score: Column, share: int) -> Column:
     """Greatest whole number of at most so many per cent of a score."""
-    hundreds = score * share
-    return F.call_function("div", hundreds - F.pmod(hundreds, F.lit(100)), F.lit(100))
+    part = F.lit(share).cast("decimal(5,2)") / 100
+    return F.floor(score.cast("decimal(19,0)") * part).cast("long")
 
 
 def _place(names: list) -> Column:
