@@ -21,6 +21,7 @@ field. A table without rows gives none. Only the named columns are read, so othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from casedesk.llm.frames import changes, named
 from casedesk.session import materialize
 
 FAN = 3
+STORED = 2  # levels joined in one job
 
 
 def field(value: Column) -> Column:
@@ -84,8 +86,8 @@ def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
         f"`{group}`", "part",
         f"sum(rows) over (partition by `{group}` order by part) - rows as before",
         f"sum(rows) over (partition by `{group}`) as n")
-    return placed.join(before, [group, "part"]).select(
-        *rows.columns, (F.col("before") + F.col("place")).alias("lo"), "n")
+    return materialize(placed.join(before, [group, "part"]).select(
+        *rows.columns, (F.col("before") + F.col("place")).alias("lo"), "n"), f"{name}-ranked")
 
 
 def levels(leaves: DataFrame, fan: int = FAN) -> list[DataFrame]:
@@ -126,18 +128,20 @@ def _step(children: Column, lo: Column, hi: Column) -> Column:
         _together(F.filter(children, lambda c: c["lo"] >= hi)).alias("after"))
 
 
-def paths(tree: list[DataFrame], tops: DataFrame, fan: int = FAN) -> DataFrame:
+def paths(tree: list[DataFrame], tops: DataFrame | None = None, fan: int = FAN) -> DataFrame:
     """The leaves with ``path``, the siblings level by level up to the root, and ``top``.
 
-    ``tops`` holds, per group, the path that goes on above the group's root; its further columns
-    are handed down. ``top`` is the digest of the group's root.
+    ``tops`` holds, per group, the path that goes on above the group's root, if any; its further
+    columns are handed down. ``top`` is the digest of the group's root. Every few levels are stored,
+    so that no plan grows with the number of levels.
     """
-    extra = [c for c in tops.columns if c not in ("group", "path")]
+    extra = [c for c in tops.columns if c not in ("group", "path")] if tops else []
+    no_steps = F.array().cast("array<struct<before:binary,after:binary>>")
     above = None
     for depth in range(len(tree) - 1, -1, -1):
         nodes = tree[depth]
-        found = (nodes.where("lo = 0 and hi = n").withColumn("top", F.col("digest"))
-                 .join(tops, "group"))
+        found = nodes.where("lo = 0 and hi = n").withColumn("top", F.col("digest"))
+        found = found.join(tops, "group") if tops else found.withColumn("path", no_steps)
         if above is not None:
             width = fan ** (depth + 1)
             parent = above.select(
@@ -151,7 +155,7 @@ def paths(tree: list[DataFrame], tops: DataFrame, fan: int = FAN) -> DataFrame:
             step = _step(F.col("p_children"), F.col("lo"), F.col("hi"))
             found = found.unionByName(inner.select(
                 *nodes.columns, "top", F.concat(F.array(step), "p_path").alias("path"), *extra))
-        above = found
+        above = materialize(found, f"paths-{depth}") if depth and depth % STORED == 0 else found
     return above.drop("children")
 
 
@@ -181,16 +185,14 @@ def manifest(table: DataFrame, id_col: str, group_col: str, values: list[str],
         *[value.alias(f"keep_{name}") for name, value in keep.items()])
     leaves = ranked(rows, ["id", "digest"], "leaves")
     tree = levels(leaves.select("group", "lo", "n", "digest"), fan)
-    subroots = tree[0].where("n = 1")
-    for nodes in tree[1:]:
-        subroots = subroots.unionByName(nodes.where("lo = 0 and hi = n"))
+    subroots = reduce(DataFrame.unionByName, [
+        nodes.where("lo = 0 and hi = n").select("group", "digest") for nodes in tree])
     tops = ranked(subroots.select(F.lit("").alias("group"), F.col("group").alias("source"),
                                   "digest"), ["source"], "subroots")
     top_tree = levels(tops.select("group", "lo", "n", "digest"), fan)
-    no_steps = F.array().cast("array<struct<before:binary,after:binary>>")
-    start = table.sparkSession.range(1).select(F.lit("").alias("group"), no_steps.alias("path"))
-    top_paths = paths(top_tree, start, fan).select("lo", "path", F.col("top").alias("root"))
-    tops = tops.join(top_paths, "lo").select(F.col("source").alias("group"), "path", "root")
+    top_paths = paths(top_tree, fan=fan).select("lo", "path", F.col("top").alias("root"))
+    tops = materialize(tops.join(top_paths, "lo").select(
+        F.col("source").alias("group"), "path", "root"), "subroot-paths")
     found = paths(tree, tops, fan).select("group", "lo", "path", "top", "root")
     return leaves.drop("n").join(found, ["group", "lo"]).select(
         "id", _hex(F.col("digest")).alias("leaf"), _hex(F.col("top")).alias("subroot"),

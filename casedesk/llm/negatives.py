@@ -315,7 +315,7 @@ def _with_trees(points: DataFrame) -> DataFrame:
     labels = points.groupBy("dim", "label").agg(
         F.count("*").alias("n"), F.sum(F.col("anchor").cast("long")).alias("anchors"))
     shards = F.ceil(F.col("n") / TREE).cast("int")
-    shared = F.pmod(F.xxhash64("label"), F.lit(1 + total // TREE)).cast("string")
+    shared = F.pmod(F.xxhash64("label"), F.lit(1 + 4 * total // TREE)).cast("string")
     labels = labels.select(
         "dim", "label", shards.alias("shards"), "anchors",
         F.when(shards > 1, F.concat(F.lit("="), "label")).otherwise(
