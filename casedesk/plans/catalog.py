@@ -14,9 +14,9 @@ from casedesk.operators import (
     review, sampling, tfidf)
 from casedesk.plans import fixtures
 from casedesk.plans.workspace import GOLDEN_SIZE, PAIR_SAMPLE, Workspace
-from casedesk.session import run_folder
+from casedesk.session import materialize, run_folder
 from casedesk.sources.files import ensure_string_columns
-from casedesk.streaming import triage
+from casedesk.streaming import context, triage, verdicts
 
 ID = "customer_tweet_id"
 # The brand of the one-brand queries.
@@ -127,6 +127,44 @@ def _stream_triage(w: Workspace) -> DataFrame:
     return w.spark.read.parquet(f"{folder}/out")
 
 
+def _land(df: DataFrame, folder: str) -> None:
+    """Adds the rows to the files that a stream reads."""
+    df.write.mode("append").parquet(folder)
+
+
+def _stream_verdicts(w: Workspace) -> DataFrame:
+    """Responses to all pairs, second ones first and some twice, read by a stream that restarts."""
+    folder = run_folder(w.spark, "verdicts")
+    responses = fixtures.judge_responses(w.stored_pairs)
+    second = F.col("batch") == 1
+    early = F.pmod("customer_tweet_id", F.lit(8)) == 0
+    for parts in ([responses.filter(second & early), responses.filter(~second)],
+                  [responses.filter(second)]):
+        for part in parts:
+            _land(part, f"{folder}/in")
+        stream = w.spark.readStream.schema(responses.schema).parquet(f"{folder}/in")
+        verdicts.start_verdicts(
+            stream, f"{folder}/out", f"{folder}/state", run="batch").awaitTermination()
+    return verdicts.current(
+        w.spark, f"{folder}/out", "batch", responses.schema["batch"].dataType)
+
+
+def _stream_context(w: Workspace) -> DataFrame:
+    """Triage of a stream that brings answers before what they answer, a restart in between."""
+    folder = run_folder(w.spark, "context")
+    tweets = materialize(w.tweets, "tweets")
+    first, last = tweets.agg(
+        F.unix_timestamp(F.min("created_at")), F.unix_timestamp(F.max("created_at"))).first()
+    # As late as the table is long: no row of it may be dropped.
+    late_by = f"{(last or 0) - (first or 0) + 1} seconds"
+    for part in (tweets.filter("inbound"), tweets.filter("not inbound"), context.heartbeat(w.spark)):
+        _land(part, f"{folder}/in")
+        context.start_triage(
+            context.tweet_stream(w.spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state",
+            late_by).awaitTermination()
+    return w.spark.read.parquet(f"{folder}/out")
+
+
 def _intent_predictions(w: Workspace) -> DataFrame:
     return w.model.predict(w.stored_open).select(
         ID, "predicted_intent", F.round("prediction_confidence", 4).alias("confidence"))
@@ -241,6 +279,8 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "review_progress": lambda w: review.review_progress(_reviewed(w)),
     # streaming
     "stream_triage": _stream_triage,
+    "stream_context": _stream_context,
+    "stream_verdicts": _stream_verdicts,
 }
 
 

@@ -313,7 +313,8 @@ def _verdict_field(name: str, kind: str) -> str:
     return f"cast(json_extract_string(body, '$.{name}') as {kind}) as {name}"
 
 
-def _judge() -> str:
+def _judge(messages: str = "asked", mark: str = "") -> str:
+    """Responses and verdicts for a table of messages; ``mark`` sets their names apart."""
     number = " || ', ' || ".join(
         f"'\"{name}\": ' || case when (n + {i}) % 4 = 2 then '\"' else '' end"
         f" || cast(1 + (n + {i} + batch) % 5 as varchar)"
@@ -324,7 +325,7 @@ def _judge() -> str:
         + [_verdict_field("unsupported_claims", "boolean"),
            _verdict_field("major_issue", "varchar"), _verdict_field("reasoning", "varchar")])
     return f"""
-    responses as (select customer_tweet_id, batch,
+    {mark}responses as (select customer_tweet_id, batch,
         case (n + batch) % 4
           when 0 then body
           when 1 then '```json' || chr(10) || body || chr(10) || '```'
@@ -335,13 +336,13 @@ def _judge() -> str:
               || case when n % 3 = 0 then 'true' else 'false' end
               || ', "major_issue": "", "reasoning": "message of ' || cast(n as varchar)
               || ' characters"}}' as body
-            from (select customer_tweet_id, length(customer_message) as n from asked)
+            from (select customer_tweet_id, length(customer_message) as n from {messages})
             cross join (values (0), (1)) b(batch))),
-    verdicts as (select customer_tweet_id, batch, parse_ok, {fields}
+    {mark}verdicts as (select customer_tweet_id, batch, parse_ok, {fields}
       from (select customer_tweet_id, batch, coalesce(json_valid(body), false) as parse_ok,
               case when json_valid(body) then body end as body
             from (select customer_tweet_id, batch,
-                    nullif(regexp_extract(raw, '(?s)\\{{.*\\}}'), '') as body from responses)))"""
+                    nullif(regexp_extract(raw, '(?s)\\{{.*\\}}'), '') as body from {mark}responses)))"""
 
 
 def _reviews() -> str:
@@ -409,7 +410,7 @@ def base() -> str:
         """
     cases as (select * from pairs where customer_tweet_id not in
       (select customer_tweet_id from golden))""",
-        _index(), _drafts(), _grounding(), _judge(), _reviews(),
+        _index(), _drafts(), _grounding(), _judge(), _judge("pairs", "pair_"), _reviews(),
     ])
 
 
@@ -642,7 +643,11 @@ def oracle_sql() -> dict[str, str]:
                 "from tweets t left join tweets p on p.tweet_id = t.in_response_to_tweet_id "
                 "where t.inbound and t.text is not null)", 'intent', 'confidence') + ')',
                 'intent', 'confidence')})""",
+        "stream_verdicts": f"""select customer_tweet_id, batch, parse_ok, {verdicts} from (select *,
+            row_number() over (partition by customer_tweet_id order by batch desc) as place
+            from pair_verdicts) where place = 1""",
     }
+    bodies["stream_context"] = bodies["stream_triage"]
     return {
         name: common + (body if body.startswith(",") else "\n    " + body)
         for name, body in bodies.items()

@@ -30,8 +30,12 @@ def triage(tweets: DataFrame, said_before: DataFrame) -> DataFrame:
     messages = tweets.filter("inbound and text is not null").join(context, match, "left").select(
         F.col("tweet_id").alias("customer_tweet_id"), "previous_context",
         F.col("text").alias("customer_message"))
-    labelled = with_silver_prediction(messages, "intent", "confidence")
-    return with_escalation(labelled).select(
+    return labelled(messages)
+
+
+def labelled(messages: DataFrame) -> DataFrame:
+    """Rule intent and escalation of messages with their context."""
+    return with_escalation(with_silver_prediction(messages, "intent", "confidence")).select(
         "customer_tweet_id", "intent", F.round("confidence", 6).alias("confidence"),
         "escalate", "escalation_rule")
 
