@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from casedesk.functions import text as tx
 from casedesk.functions.staging import spread
 from casedesk.operators import tfidf
 from casedesk.session import materialize
+from casedesk.sources.versions import read_bucketed, write_bucketed
 
 # Rarest terms of a query whose cases set the bar that the others have to reach.
 SEED_TERMS = 3
@@ -17,6 +20,18 @@ SEED_TERMS = 3
 POSTINGS_PER_PART = 100_000
 # Similarities are rounded to six decimals: this much below the bar may still tie with it.
 ROUNDING = 2e-6
+# Rows of a stored index that a bucket should hold.
+ROWS_PER_BUCKET = 1_000_000
+
+VECTORS = T.StructType([
+    T.StructField("rep_id", T.LongType()),
+    T.StructField("vector", T.ArrayType(T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])))])
+POSTINGS = T.StructType([
+    T.StructField("term", T.StringType()), T.StructField("part", T.IntegerType()),
+    T.StructField("rep_id", T.LongType()), T.StructField("case_weight", T.DoubleType())])
+LAYOUT = T.StructType([
+    T.StructField("table", T.StringType()), T.StructField("buckets", T.IntegerType())])
 
 
 @dataclass
@@ -26,6 +41,7 @@ class CaseIndex:
     cases: DataFrame     # case_id, text_key, search_text, ...
     vocab: DataFrame     # term, df, cf, idf
     vectors: DataFrame   # rep_id, vector
+    postings: DataFrame | None = None  # term, part, rep_id, case_weight, where they are stored
 
 
 def with_search_text(messages: DataFrame) -> DataFrame:
@@ -46,17 +62,20 @@ def _distinct_texts(docs: DataFrame, id_column: str) -> DataFrame:
 
 def build_index(
     pairs: DataFrame, exclude: DataFrame | None = None, stop_words=tx.STOP_WORDS,
-    max_features: int | None = None, store: bool = False,
+    max_features: int | None = None,
+    store: bool | Callable[[DataFrame, str], DataFrame] = False,
 ) -> CaseIndex:
     """Index over answered cases; ids in ``exclude`` stay out of it.
 
     The vocabulary is whole unless ``max_features`` asks for the most frequent terms.
 
-    With ``store`` every part is written as it is built and read back, so that later
-    parts and all retrievals start from files. Term counts are made anew for the
+    With ``store`` every part is written as it is built and read back, by a function of the
+    caller's if it is one, so that later parts and all retrievals start from files. Term counts are made anew for the
     vectors: counting again is cheaper than keeping all postings twice.
     """
     def part(df: DataFrame, name: str) -> DataFrame:
+        if callable(store):
+            return store(df, name)
         return materialize(df, f"index-{name}") if store else df
 
     if exclude is not None:
@@ -67,10 +86,49 @@ def build_index(
     vocab = part(tfidf.vocabulary(
         tfidf.term_stats(counted, F.col("copies")), tfidf.count_docs(cases),
         max_features=max_features), "vocabulary")
-    vectors = spread(tfidf.unit_vectors(counted, vocab, "rep_id"), "rep_id")
+    vectors = tfidf.unit_vectors(counted, vocab, "rep_id")
+    if not callable(store):
+        vectors = spread(vectors, "rep_id")
     return CaseIndex(cases, vocab, part(vectors, "vectors"))
 
 
+def save_index(pairs: DataFrame, path: str, **options) -> None:
+    """Builds an index into a folder: vectors bucketed by text, postings by term and part.
+
+    A frequent term's parts are keys of their own, so no bucket holds more than its share.
+    """
+    spark = pairs.sparkSession
+    layout: list[tuple[str, int]] = []
+
+    def bucketed(df: DataFrame, name: str, rows: int, *keys: str) -> DataFrame:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                      math.ceil(rows / ROWS_PER_BUCKET))
+        layout.append((name, buckets))
+        return write_bucketed(df, f"{path}/{name}", buckets, *keys)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        if name == "vectors":
+            return bucketed(df, name, kept["cases"].count(), "rep_id")
+        df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+        kept[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        return kept[name]
+
+    kept: dict[str, DataFrame] = {}
+    index = build_index(pairs, store=keep, **options)
+    entries = index.vocab.agg(F.sum("df")).first()[0] or 0
+    bucketed(_case_postings(index), "postings", entries, "term", "part")
+    spark.createDataFrame(layout, LAYOUT).coalesce(1).write.parquet(f"{path}/layout")
+
+
+def load_index(spark: SparkSession, path: str) -> CaseIndex:
+    """The index of a folder, also one that another session saved."""
+    layout = {r.table: r.buckets for r in spark.read.schema(LAYOUT).parquet(f"{path}/layout").collect()}
+    return CaseIndex(
+        spark.read.parquet(f"{path}/cases"), spark.read.parquet(f"{path}/vocabulary"),
+        read_bucketed(spark, f"{path}/vectors", VECTORS, layout["vectors"], "rep_id"),
+        read_bucketed(spark, f"{path}/postings", POSTINGS, layout["postings"], "term", "part"))
+
+
 def index_postings(index: CaseIndex) -> DataFrame:
     """The index as a table: every case with its terms and weights."""
     reps = index.cases.groupBy("text_key").agg(F.min("case_id").alias("rep_id"))
@@ -101,6 +159,8 @@ def _parts() -> Column:
 
 
 def _case_postings(index: CaseIndex) -> DataFrame:
+    if index.postings is not None:
+        return index.postings
     part = F.pmod(F.xxhash64("rep_id"), _parts()).cast("int")
     return (
         tfidf.postings(index.vectors, "rep_id").withColumnRenamed("weight", "case_weight")

@@ -225,10 +225,9 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "case_index": lambda w: _rounded(retrieval.index_postings(w.index), "weight"),
     "similar_cases": lambda w: w.similar,
     "reply_patterns": _reply_patterns,
-    "draft_replies": lambda w: replies.draft_replies(w.stored_golden, _evidence(w)).select(
+    "draft_replies": lambda w: replies.draft_replies(w.inquiries, _evidence(w)).select(
         ID, "generated_reply", "retrieved_case_count"),
-    "reply_flags": lambda w: reply_quality.with_reply_flags(
-        replies.draft_replies(w.stored_golden, _evidence(w))).select(
+    "reply_flags": lambda w: reply_quality.with_reply_flags(w.answered).select(
         ID, *reply_quality.FLAG_COLUMNS, "reply_length_score"),
     "reply_similarity": lambda w: _rounded(
         reply_quality.reply_similarity(w.answered), "similarity"),

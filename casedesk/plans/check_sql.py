@@ -227,7 +227,7 @@ def _index() -> str:
       from (select case_id, t.term, tf * idf as w from case_tf t join vocab v on t.term = v.term))"""
     return ",".join([
         case_tf, _stats("vocab", "cases", "case_tf", 1.0, 2 ** 62), weights,
-        _vectors("query_vectors", "asked", "customer_tweet_id", text, "vocab", tx.STOP_WORDS)])
+        _vectors("query_vectors", "inquiries", "customer_tweet_id", text, "vocab", tx.STOP_WORDS)])
 
 
 def _flags(text: str, patterns) -> str:
@@ -260,7 +260,7 @@ def _drafts() -> str:
           || case when asks_for_dm then {lit(lex.REPLY_DM)}
                   when provides_steps then {lit(lex.REPLY_STEPS)}
                   else {lit(lex.REPLY_GENERIC)} end end as generated_reply
-      from asked m left join patterns p using (customer_tweet_id)),
+      from inquiries m left join patterns p using (customer_tweet_id)),
     answered as ({_escalation('(select d.*, s.predicted_intent, s.prediction_confidence as confidence '
                               'from drafts d join silver_open s using (customer_tweet_id))',
                               'predicted_intent', 'confidence')})"""
@@ -275,7 +275,7 @@ def _grounding() -> str:
     terms = term_list("words")
     return f"""
     pair_texts as (select e.customer_tweet_id, e.case_id, d.generated_reply, e.brand_reply
-      from evidence e join drafts d using (customer_tweet_id)),
+      from evidence e join answered d using (customer_tweet_id)),
     pair_tf as (select customer_tweet_id, case_id, term,
         count(*) filter (side = 0) as a, count(*) filter (side = 1) as b
       from (select customer_tweet_id, case_id, 0 as side, unnest({terms}) as term
@@ -384,6 +384,9 @@ def base() -> str:
         """
     asked as (select customer_tweet_id, previous_context, customer_message from golden)""",
         """
+    inquiries as (select customer_tweet_id, previous_context, customer_message from open_messages
+      union all select * from asked)""",
+        """
     train as (select * from pairs where customer_tweet_id not in (select customer_tweet_id from golden))""",
         f"""
     proposed as ({_labels('pairs')})""",

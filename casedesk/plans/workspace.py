@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,19 +10,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casedesk.functions import rules
 from casedesk.operators import (
     agent, classifier, evaluation, pairs, reply_quality, retrieval, sampling)
-from casedesk.session import materialize, run_folder
+from casedesk.session import application_folder, materialize, run_folder
 from casedesk.sources import tables
+from casedesk.sources.versions import Versions, fingerprint
 
 # Sizes of the working sample and of the evaluation sample drawn by the registered queries.
 PAIR_SAMPLE = 10_000
 GOLDEN_SIZE = 60
+MESSAGE = ("customer_tweet_id", "previous_context", "customer_message")
 
 
 class Workspace:
-    """Names for the steps from tweets to scored replies; nothing runs until asked for."""
+    """Names for the steps from tweets to scored replies; nothing runs until asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    Index, models and the tables that many steps read are versions in ``store``: made once for the
+    conversations as they are, then loaded. Without a folder they last as long as the application.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
         self.spark, self.sf_dir = spark, sf_dir
+        self.versions = Versions(spark, store or f"{application_folder(spark)}/versions")
+
+    @cached_property
+    def source(self) -> str:
+        """Stands for the conversations and the sizes of the samples drawn from them."""
+        return fingerprint(
+            self.spark, [f"{self.sf_dir}/conversations.parquet"], GOLDEN_SIZE, PAIR_SAMPLE)
+
+    def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        path = self.versions.stored(
+            name, self.source, lambda p: build().write.option("compression", "zstd").parquet(p))
+        return self.spark.read.parquet(path)
 
     @cached_property
     def tweets(self) -> DataFrame:
@@ -39,17 +58,23 @@ class Workspace:
     @cached_property
     def stored_pairs(self) -> DataFrame:
         """The pairs as files, for work that reads them several times."""
-        return materialize(self.pairs, "pairs")
+        return self._table("pairs", lambda: self.pairs)
 
     @cached_property
     def stored_open(self) -> DataFrame:
-        return materialize(pairs.open_messages(self.tweets, self.stored_pairs), "open-messages")
+        return self._table(
+            "open-messages", lambda: pairs.open_messages(self.tweets, self.stored_pairs))
 
     @cached_property
     def stored_golden(self) -> DataFrame:
         """The evaluation messages as files, without the replies they got."""
-        return materialize(sampling.golden_set(self.stored_pairs, GOLDEN_SIZE).select(
-            "customer_tweet_id", "previous_context", "customer_message"), "golden")
+        return self._table("golden", lambda: sampling.golden_set(
+            self.stored_pairs, GOLDEN_SIZE).select(*MESSAGE))
+
+    @cached_property
+    def inquiries(self) -> DataFrame:
+        """All messages to be answered: the open ones and those of the evaluation set."""
+        return self.stored_open.select(*MESSAGE).unionByName(self.stored_golden)
 
     @cached_property
     def golden(self) -> DataFrame:
@@ -94,12 +119,14 @@ class Workspace:
 
     @cached_property
     def index(self) -> retrieval.CaseIndex:
-        """Index of the answered cases outside the evaluation set, read from files."""
-        return retrieval.build_index(self.stored_pairs, exclude=self.stored_golden, store=True)
+        """Index of the answered cases outside the evaluation set, loaded from its files."""
+        path = self.versions.stored("case-index", self.source, lambda p: retrieval.save_index(
+            self.stored_pairs, p, exclude=self.stored_golden))
+        return retrieval.load_index(self.spark, path)
 
     @cached_property
     def similar(self) -> DataFrame:
-        return retrieval.similar_cases(self.stored_golden, self.index)
+        return retrieval.similar_cases(self.inquiries, self.index)
 
     @cached_property
     def answered(self) -> DataFrame:
@@ -115,19 +142,23 @@ class Workspace:
         return reply_quality.grounding_scores(
             agent.reply_evaluation(self.answered, self.labelled_golden))
 
-    def _trained(self, golden: DataFrame | None) -> classifier.IntentModel:
-        train = materialize(classifier.silver_train(self.stored_pairs, golden), "silver-train")
-        return classifier.train_classifier(train, run_folder(self.spark, "vocabulary"))
+    def _trained(self, name: str, golden: Callable[[], DataFrame | None]) -> classifier.IntentModel:
+        def train(path: str) -> None:
+            rows = materialize(classifier.silver_train(self.stored_pairs, golden()), "silver-train")
+            classifier.train_classifier(rows, run_folder(self.spark, "vocabulary")).save(path)
+
+        return classifier.IntentModel.load(
+            self.spark, self.versions.stored(name, self.source, train))
 
     @cached_property
     def model(self) -> classifier.IntentModel:
         """Model for open messages, trained on the rule labels of all pairs."""
-        return self._trained(None)
+        return self._trained("intent-model", lambda: None)
 
     @cached_property
     def evaluated_model(self) -> classifier.IntentModel:
         """Model trained on the pairs outside the evaluation sample."""
-        return self._trained(sampling.golden_set(self.stored_pairs, GOLDEN_SIZE))
+        return self._trained("evaluated-model", lambda: self.stored_golden)
 
     @cached_property
     def model_predicted(self) -> DataFrame:

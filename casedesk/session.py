@@ -74,14 +74,19 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
 
 def run_folder(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """Path of a new folder for one table of this run below the shared folder."""
+    path = f"{application_folder(spark, folder)}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def application_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """Folder of this application below the shared folder; it goes when the program ends."""
     root = f"{shared_folder(spark, folder)}/casedesk-{spark.sparkContext.applicationId}"
     if root not in _USED:
         _USED[root] = spark
         atexit.register(_clear, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
-    return path
+    return root
 
 
 @contextmanager
