@@ -15,9 +15,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
 
     A missing column is an error. A value that its column's type can't hold becomes null.
     ``timestamp_format`` is how timestamps are written. Quoted records may hold line breaks;
-    a file that has none is read in parts with ``multi_line=False``.
+    a file that has none is read in parts with ``multi_line=False``, and one that has some with
+    ``split_csv.read_csv_strings`` and ``typed_columns``.
     """
-    df = require_columns(read_csv_strings(spark, path, multi_line), schema.names)
+    return typed_columns(read_csv_strings(spark, path, multi_line), schema, timestamp_format)
+
+
+def typed_columns(strings: DataFrame, schema: T.StructType,
+                  timestamp_format: str | None = None) -> DataFrame:
+    """The schema's columns of a table of strings, by name."""
+    df = require_columns(strings, schema.names)
 
     def typed(field: T.StructField):
         column = F.col(f"`{field.name}`")
