@@ -15,7 +15,7 @@ from casedesk.functions import text as tx
 from casedesk.functions.rules import with_silver_intent
 from casedesk.functions.staging import staged
 from casedesk.operators import tfidf
-from casedesk.operators.sampling import without
+from casedesk.operators.sampling import first_by_hash, without
 from casedesk.session import materialize, run_folder
 
 ID = "customer_tweet_id"
@@ -194,9 +194,10 @@ def train_classifier(
 def bounded_rows(labelled: DataFrame, most: int, seed: int = 17) -> DataFrame:
     """At most ``most`` rows: those with the smallest hash of their id.
 
-    A bound on the hash thins the rows out before the few that are left are ordered.
+    Where the table has no more, it is left as it is; else the bound is found by counts.
     """
-    mark = F.xxhash64(F.lit(seed), F.col(ID))
-    share = min(1.0, 1.2 * most / max(1, labelled.count()))
-    level = min(int(-(1 << 63) + share * ((1 << 64) - 1)), (1 << 63) - 1)
-    return labelled.filter(mark <= F.lit(level)).orderBy(mark, ID).limit(most)
+    if labelled.count() <= most:
+        return labelled
+    # In hex digits, the sign bit turned round, the hash sorts as the number does.
+    mark = F.xxhash64(F.lit(seed), F.col(ID)).bitwiseXOR(F.lit(-(1 << 63)))
+    return first_by_hash(labelled, most, F.lpad(F.hex(mark), 16, "0"), ID)

@@ -49,6 +49,21 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
         for name, df in stages.items()])
 
 
+def label_cube(labelled: DataFrame, *columns: str) -> DataFrame:
+    """Counts of all labels together, by the first column, by each other one within it, and in total.
+
+    One pass over the rows: every grouping set is counted on the map side. ``grouping`` has a bit
+    for each column, the first one the highest, that is set where the column is left out.
+    """
+    first, *others = columns
+    sets = [list(columns), *[[first, c] for c in others], [first], []]
+    distinct = list({tuple(s): s for s in sets}.values())
+    return labelled.groupingSets(distinct, *columns).agg(
+        F.count("*").alias("n"),
+        F.sum((F.col("escalate") == "yes").cast("long")).alias("n_escalated"),
+        F.grouping_id().cast("long").alias("grouping"))
+
+
 def label_distribution(df: DataFrame, columns) -> DataFrame:
     """Counts of several label columns at once."""
     labels = F.array(*[

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 SEED = 42
+# Rows that one task may order, and hex digits that rows are counted by at a time.
+MOST_ORDERED = 100_000
+DIGITS = 3
 
 
 def shuffle_key(id_column: str, seed: int = SEED) -> Column:
@@ -13,8 +16,43 @@ def shuffle_key(id_column: str, seed: int = SEED) -> Column:
 
 
 def exact_sample(df: DataFrame, n: int, id_column: str = "customer_tweet_id", seed: int = SEED) -> DataFrame:
-    """Exactly ``n`` rows (all if fewer); each task keeps only its own first ``n``."""
-    return df.orderBy(shuffle_key(id_column, seed), id_column).limit(n)
+    """Exactly ``n`` rows (all if fewer): those that come first in the seeded shuffle.
+
+    Up to ``MOST_ORDERED`` rows, each task keeps only its own first ``n`` and one merges them.
+    """
+    key = shuffle_key(id_column, seed)
+    if n <= MOST_ORDERED:
+        return df.orderBy(key, id_column).limit(n)
+    return first_by_hash(df, n, key, id_column)
+
+
+def first_by_hash(df: DataFrame, n: int, key: Column, *ties: str) -> DataFrame:
+    """The ``n`` rows of least ``key``, a hash in hex digits; no task orders more than a few.
+
+    Rows are counted by the first digits of their key. All before the digits at which the count
+    reaches ``n`` are taken; those with these digits are counted by the next ones, until so few
+    are left that they can be ordered.
+    """
+    marked = df.withColumn("_key", key)
+    digits, left = "", n
+    while True:
+        part = F.substring("_key", len(digits) + 1, DIGITS)
+        counts = (marked.filter(F.col("_key").startswith(digits)).groupBy(part.alias("part"))
+                  .count().orderBy("part").collect())  # at most 16 ** DIGITS rows
+        for row in counts:
+            if row["count"] >= left:
+                break
+            left -= row["count"]
+        else:
+            return df  # fewer rows than asked for
+        digits += row.part
+        if row["count"] == left:  # all of them
+            return marked.filter((F.col("_key") < digits) | F.col("_key").startswith(digits)).drop("_key")
+        if left <= MOST_ORDERED or not row.part:  # or keys that are equal throughout
+            break
+    before = marked.filter(F.col("_key") < digits)
+    edge = marked.filter(F.col("_key").startswith(digits)).orderBy("_key", *ties).limit(left)
+    return before.unionByName(edge).drop("_key")
 
 
 def golden_set(pairs: DataFrame, n: int, seed: int = SEED) -> DataFrame:

@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from casedesk import schemas
+from casedesk.functions import lexicons as lex
 from casedesk.functions import rules
 from casedesk.functions import text as tx
 from casedesk.functions.escalation import with_escalation
 from casedesk.operators import (
     agent, classifier, evaluation, judging, pairs, profile, replies, reply_quality, retrieval,
-    review, sampling, tfidf)
+    review, rule_tables, sampling, tfidf)
 from casedesk.plans import fixtures
-from casedesk.plans.workspace import GOLDEN_SIZE, PAIR_SAMPLE, Workspace
+from casedesk.plans.workspace import GOLDEN_SIZE, LEADING_BRANDS, PAIR_SAMPLE, POOL_SIZE, Workspace
 from casedesk.session import materialize, run_folder
-from casedesk.sources.files import ensure_string_columns
+from casedesk.sources import split_csv
+from casedesk.sources.files import ensure_string_columns, typed_columns, write_csv
 from casedesk.streaming import context, triage, verdicts
 
 ID = "customer_tweet_id"
@@ -27,6 +30,40 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
 
 
+def _rule_table_labels(w: Workspace) -> DataFrame:
+    """The three rule sets, read from a table."""
+    context, message = F.col("previous_context"), F.col("customer_message")
+    lexicons = {"silver": lex.SILVER_RULES, "proposal": lex.PROPOSAL_RULES,
+                "baseline": lex.BASELINE_RULES}
+    texts = {"silver": tx.cleaned_context(context, message),
+             "proposal": F.lower(tx.raw_context(context, message)),
+             "baseline": F.lower(tx.merged_context(context, message))}
+    return rule_tables.with_rule_labels(
+        w.stored_pairs, rule_tables.rule_table(w.spark, lexicons), texts).select(ID, *texts)
+
+
+def _rule_table_themes(w: Workspace) -> DataFrame:
+    themes = rule_tables.rule_table(w.spark, {"themes": lex.THEMES})
+    text = F.lower(tx.or_empty(F.col("customer_message")))
+    return rule_tables.label_counts(w.stored_pairs, themes, text, "themes").withColumnRenamed(
+        "label", "theme")
+
+
+def _label_cube(w: Workspace) -> DataFrame:
+    labelled = rules.with_proposed_labels(w.pairs).select(
+        "brand", F.col("auto_intent").alias("intent"), "confidence",
+        F.col("auto_escalate").alias("escalate"))
+    return profile.label_cube(labelled, "brand", "intent", "confidence")
+
+
+def _csv_tweets(w: Workspace) -> DataFrame:
+    """Tweets with line breaks in their texts, through a CSV file read in splits."""
+    folder = run_folder(w.spark, "csv")
+    text = F.concat("text", F.lit('\n"as written", once more\n'))
+    write_csv(w.tweets.withColumn("text", text), folder)
+    return typed_columns(split_csv.read_csv_strings(w.spark, folder), schemas.TWEETS)
+
+
 def _stage_counts(w: Workspace) -> DataFrame:
     stored = w.stored_pairs
     golden = sampling.golden_set(stored, GOLDEN_SIZE)
@@ -275,6 +312,14 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "judge_results": _judge_results,
     "judge_summary": lambda w: judging.judge_summary(_first_verdicts(w)),
     "apply_reviews": _reviewed,
+    # rules from tables, cubes, samples and files at size
+    "rule_table_labels": _rule_table_labels,
+    "rule_table_themes": _rule_table_themes,
+    "label_cube": _label_cube,
+    "leading_brands": lambda w: profile.top_brands(w.tweets, LEADING_BRANDS),
+    "evaluation_pool": lambda w: sampling.first_by_hash(
+        w.stored_pairs, POOL_SIZE, sampling.shuffle_key(ID), ID),
+    "csv_tweets": _csv_tweets,
     "review_progress": lambda w: review.review_progress(_reviewed(w)),
     # streaming
     "stream_triage": _stream_triage,

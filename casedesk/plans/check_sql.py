@@ -14,7 +14,7 @@ from casedesk.functions import rules
 from casedesk.functions import text as tx
 from casedesk.operators import evaluation, judging, reply_quality
 from casedesk.plans.fixtures import JUDGED_FIELDS
-from casedesk.plans.workspace import GOLDEN_SIZE, PAIR_SAMPLE
+from casedesk.plans.workspace import GOLDEN_SIZE, LEADING_BRANDS, PAIR_SAMPLE, POOL_SIZE
 from casedesk.sources import tables
 
 SPACE = r"\s\x0b\x85\pZ"
@@ -650,6 +650,23 @@ def oracle_sql() -> dict[str, str]:
             row_number() over (partition by customer_tweet_id order by batch desc) as place
             from pair_verdicts) where place = 1""",
     }
+    bodies |= {
+        "rule_table_labels": f"""select customer_tweet_id, {rule_case(CLEAN_TEXT, lex.SILVER_RULES)} as silver,
+            {rule_case('lower(' + raw_text() + ')', lex.PROPOSAL_RULES)} as proposal,
+            {rule_case('lower(' + merged() + ')', lex.BASELINE_RULES)} as baseline from pairs""",
+        "rule_table_themes": bodies["theme_counts"],
+        "label_cube": """select brand, auto_intent as intent, confidence, count(*) as n,
+            cast(count(*) filter (auto_escalate = 'yes') as bigint) as n_escalated,
+            cast(grouping_id(brand, auto_intent, confidence) as bigint) as grouping
+            from proposed group by grouping sets (
+              (brand, auto_intent, confidence), (brand, auto_intent), (brand, confidence), (brand), ())""",
+        "leading_brands": "select author_id as brand_id, count(*) as support_tweets from tweets "
+                          f"where not inbound group by 1 order by 2 desc, 1 limit {LEADING_BRANDS}",
+        "evaluation_pool": "select * from pairs order by md5(cast(customer_tweet_id as varchar) || "
+                           f"':42'), customer_tweet_id limit {POOL_SIZE}",
+        "csv_tweets": """select * replace (text || chr(10) || '"as written", once more' || chr(10)
+            as text) from tweets""",
+    }
     bodies["stream_context"] = bodies["stream_triage"]
     return {
         name: common + (body if body.startswith(",") else "\n    " + body)

@@ -17,6 +17,9 @@ from casedesk.sources.versions import Versions, fingerprint
 # Sizes of the working sample and of the evaluation sample drawn by the registered queries.
 PAIR_SAMPLE = 10_000
 GOLDEN_SIZE = 60
+# Brands and pairs of the queries whose cut takes effect on small tables too.
+LEADING_BRANDS = 2
+POOL_SIZE = 20
 MESSAGE = ("customer_tweet_id", "previous_context", "customer_message")
 
 

@@ -43,7 +43,10 @@ def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    """CSV with a header; white space at the ends of a text is part of it."""
+    df.write.mode(mode).options(
+        header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
