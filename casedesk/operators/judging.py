@@ -84,6 +84,19 @@ def parse_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
           for f in JUDGE_VERDICT.fields])
 
 
+def variant_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
+    """Like ``parse_verdicts``, with the whole answer as a VARIANT column ``verdict``.
+
+    Fields that nobody asked for, nested ones too, are kept and can be read later.
+    """
+    body = F.regexp_extract(F.coalesce(F.col(raw), F.lit("")), r"(?s)\{.*\}", 0)
+    parsed = staged(responses, verdict=F.try_parse_json(body))
+    rest = [c for c in responses.columns if c != raw]
+    fields = [F.try_variant_get("verdict", f"$.{f.name}", "string").try_cast(f.dataType).alias(f.name)
+              for f in JUDGE_VERDICT.fields]
+    return parsed.select(*rest, F.col("verdict").isNotNull().alias("parse_ok"), *fields, "verdict")
+
+
 def pending(golden: DataFrame, judged: DataFrame) -> DataFrame:
     """Rows without a verdict yet; with it an interrupted run is resumed."""
     return golden.join(judged.select(ID), ID, "left_anti")

@@ -13,7 +13,7 @@ from casedesk.functions import text as tx
 from casedesk.functions.escalation import with_escalation
 from casedesk.operators import (
     agent, classifier, evaluation, judging, pairs, profile, replies, reply_quality, retrieval,
-    review, rule_tables, sampling, tfidf)
+    review, rule_tables, sampling, sketches, term_log, tfidf)
 from casedesk.plans import fixtures
 from casedesk.plans.workspace import GOLDEN_SIZE, LEADING_BRANDS, PAIR_SAMPLE, POOL_SIZE, Workspace
 from casedesk.session import materialize, run_folder
@@ -56,6 +56,41 @@ def _label_cube(w: Workspace) -> DataFrame:
     return profile.label_cube(labelled, "brand", "intent", "confidence")
 
 
+def _sketch_errors(w: Workspace) -> DataFrame:
+    """Per brand: whether merged daily summaries are as close to the exact figures as they claim.
+
+    Twice the bound is allowed to quantiles, and four standard errors to distinct counts.
+    """
+    length, author = F.length("text"), F.col("author_id")
+    tweets = materialize(w.tweets.filter("text is not null").select(
+        "inbound", F.to_date("created_at").alias("day"), "text", "author_id"), "tweets")
+    daily = materialize(sketches.summaries(
+        tweets, ["inbound", "day"], {"length": length}, {"authors": author}), "daily")
+    whole = sketches.merged(daily, ["inbound"])
+    errors = sketches.rank_errors(tweets, whole, ["inbound"], "length", length, [0.1, 0.25, 0.5, 0.75, 0.9])
+    exact = tweets.groupBy("inbound").agg(F.countDistinct("author_id").alias("authors"))
+    off = F.abs(sketches.estimated("authors") - F.col("authors")) / F.col("authors")
+    return whole.join(errors, "inbound").join(exact, "inbound").select(
+        "inbound", "n", (F.col("rank_error") <= 2 * sketches.rank_error()).alias("lengths_close"),
+        (off <= 4 * sketches.distinct_error()).alias("authors_close"))
+
+
+def _segment_term_stats(w: Workspace) -> DataFrame:
+    """Statistics of the case index, from segments that were added, given again and compacted."""
+    log = term_log.TermLog(w.spark, run_folder(w.spark, "term-log"), tx.STOP_WORDS)
+    cases = retrieval.with_search_text(sampling.without(w.stored_pairs, w.stored_golden))
+    middle = cases.agg(F.percentile_approx(ID, 0.5)).scalar()
+    log.add(cases.filter(F.col(ID) <= middle), F.col("search_text"))
+    log.compact()
+    log.add(cases, F.col("search_text"))
+    return _rounded(log.vocabulary(), "idf")
+
+
+def _judge_variants(w: Workspace) -> DataFrame:
+    responses = fixtures.judge_responses(w.golden)
+    return judging.variant_verdicts(responses).drop("verdict")
+
+
 def _csv_tweets(w: Workspace) -> DataFrame:
     """Tweets with line breaks in their texts, through a CSV file read in splits."""
     folder = run_folder(w.spark, "csv")
@@ -320,6 +355,9 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "evaluation_pool": lambda w: sampling.first_by_hash(
         w.stored_pairs, POOL_SIZE, sampling.shuffle_key(ID), ID),
     "csv_tweets": _csv_tweets,
+    "sketch_errors": _sketch_errors,
+    "segment_term_stats": _segment_term_stats,
+    "judge_variants": _judge_variants,
     "review_progress": lambda w: review.review_progress(_reviewed(w)),
     # streaming
     "stream_triage": _stream_triage,

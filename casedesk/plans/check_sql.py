@@ -664,6 +664,10 @@ def oracle_sql() -> dict[str, str]:
                           f"where not inbound group by 1 order by 2 desc, 1 limit {LEADING_BRANDS}",
         "evaluation_pool": "select * from pairs order by md5(cast(customer_tweet_id as varchar) || "
                            f"':42'), customer_tweet_id limit {POOL_SIZE}",
+        "sketch_errors": """select inbound, count(*) as n, true as lengths_close, true as authors_close
+            from tweets where text is not null group by inbound""",
+        "segment_term_stats": bodies["term_stats"],
+        "judge_variants": bodies["judge_parsed"],
         "csv_tweets": """select * replace (text || chr(10) || '"as written", once more' || chr(10)
             as text) from tweets""",
     }

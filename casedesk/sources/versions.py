@@ -53,7 +53,8 @@ class Versions:
 
     def stored(self, name: str, made_of: str, make: Callable[[str], None]) -> str:
         """Folder of the version, made and entered first if there is none."""
-        path = self.find(name, made_of)
+        key = (self.root, name, made_of)
+        path = _KNOWN.get(key) or self.find(name, made_of)
         if path is None:
             path = f"{self.root}/{name}/{made_of}-{uuid.uuid4().hex[:8]}"
             make(path)
@@ -61,9 +62,14 @@ class Versions:
                 F.lit(name).alias("name"), F.lit(made_of).alias("fingerprint"),
                 F.lit(path).alias("path"), F.current_timestamp().alias("published_at"))
              .write.mode("append").parquet(f"{self.root}/catalogue"))
+        _KNOWN[key] = path
         return path
 
 
+# Versions that this program has looked up: they never change, so the catalogue is read once for each.
+_KNOWN: dict[tuple[str, str, str], str] = {}
+
+
 def write_bucketed(df: DataFrame, path: str, buckets: int, *keys: str) -> DataFrame:
     """The table in files by hash of the keys, sorted by them; joins on them need no shuffle of it."""
     (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
