@@ -9,13 +9,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from casedesk.functions import text as tx
-from casedesk.functions.staging import spread
+from casedesk.functions.staging import spread, staged
 from casedesk.operators import tfidf
 from casedesk.session import materialize
 from casedesk.sources.versions import read_bucketed, write_bucketed
 
-# Rarest terms of a query whose cases set the bar that the others have to reach.
+# The rarest terms of a query set the bar that other cases have to reach: so many at least, and
+# more as long as they have no more postings than this in all.
 SEED_TERMS = 3
+SEED_POSTINGS = 200
+# Cases of these terms that are scored in full.
+SEED_CASES = 10
 # Postings of a term beyond which it is cut into parts.
 POSTINGS_PER_PART = 100_000
 # Similarities are rounded to six decimals: this much below the bar may still tie with it.
@@ -150,6 +154,7 @@ def _query_terms(texts: DataFrame, index: CaseIndex, stop_words) -> DataFrame:
         .withColumn("place", F.row_number().over(rare))
         .withColumn("before", F.sum(square).over(
             rare.rowsBetween(W.unboundedPreceding, 0)) - square)
+        .withColumn("postings", F.sum("df").over(rare.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("tail", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("before")))))
 
 
@@ -179,18 +184,26 @@ def _partial_scores(terms: DataFrame, cases: DataFrame) -> DataFrame:
 def _best_texts(terms: DataFrame, index: CaseIndex, k: int) -> DataFrame:
     """``query_rep, rep_id, similarity`` of the k best case texts per query text, exactly.
 
-    The rarest terms alone give k scores that the true k best can't fall below: the bar. A
-    case that shares only the terms behind some place scores at most the length of that
+    The best cases by the rarest terms, scored in full, give k scores that the true k best
+    can't fall below: the bar. A case that shares only the terms behind some place scores at most the length of that
     tail of the query, as case vectors have length one. So only the terms up to the place
     where the tail falls below the bar bring candidates, and of these only the ones that
     could still reach it are scored over the rest of the terms.
     """
     cases = _case_postings(index)
     best = W.partitionBy("query_rep").orderBy(F.desc("partial"), "rep_id")
+    rarest = (F.col("place") <= SEED_TERMS) | (F.col("postings") <= SEED_POSTINGS)
     seeds = (
-        _partial_scores(terms.filter(F.col("place") <= SEED_TERMS), cases)
+        _partial_scores(terms.filter(rarest), cases)
+        .withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= max(k, SEED_CASES)))
+    whole = (
+        seeds.select("query_rep", "rep_id").join(index.vectors, "rep_id")
+        .select("query_rep", "rep_id", F.inline("vector")).withColumnRenamed("weight", "case_weight")
+        .join(terms.select("query_rep", "term", "weight"), ["query_rep", "term"])
+        .groupBy("query_rep", "rep_id")
+        .agg(F.sum(F.col("weight") * F.col("case_weight")).alias("partial"))
         .withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k))
-    bars = seeds.groupBy("query_rep").agg(
+    bars = whole.groupBy("query_rep").agg(
         F.when(F.count("*") >= k, F.min("partial")).alias("bar"))
     barred = terms.join(bars, "query_rep", "left").withColumn(
         "bar", F.coalesce("bar", F.lit(0.0)) - ROUNDING)
@@ -203,14 +216,13 @@ def _best_texts(terms: DataFrame, index: CaseIndex, k: int) -> DataFrame:
     candidates = (
         _partial_scores(barred.filter(leading), cases).join(rest, "query_rep")
         .filter(F.col("partial") + F.col("reach") >= F.col("bar")))
-    weights = F.map_from_entries("vector")
     behind = F.aggregate(
         "rest", F.lit(0.0), lambda total, t: total + t["weight"] * F.coalesce(
-            F.try_element_at(weights, t["term"]), F.lit(0.0)))
+            F.try_element_at("_weights", t["term"]), F.lit(0.0)))
     similarity = F.round(F.col("partial") + behind, 6)
     ranked = W.partitionBy("query_rep").orderBy(F.desc("similarity"), "rep_id")
     return (
-        candidates.join(index.vectors, "rep_id")
+        staged(candidates.join(index.vectors, "rep_id"), _weights=F.map_from_entries("vector"))
         .select("query_rep", "rep_id", similarity.alias("similarity"))
         .filter(F.col("similarity") > 0)
         .withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k).drop("nth"))
