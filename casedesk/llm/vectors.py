@@ -6,7 +6,8 @@ Equal vectors are one node with a number of copies. Centroids are fitted to a sa
 homes lie on either side of the plane between the two centroids, and linked ones are at most the
 threshold's angle apart, so one of them is within half that angle of the plane. A vector therefore
 probes every cell to whose plane it is that close, which loses no link. A pair is found where one of
-the two probes the other's home, and counted in one such cell only.
+the two probes the other's home, and counted in one such cell only. Labels of at most ``TILE``
+vectors need no cells: each has one of its own.
 
 The vectors of a label and cell are cut into tiles of about ``TILE``, and tile by tile the products of
 home vectors with all vectors of the cell are formed, so a cell that holds a third of the rows
@@ -33,7 +34,8 @@ from casedesk.session import materialize
 
 THRESHOLD = 0.93
 SAMPLE = 32_768
-CELL_ROWS = 1_000  # vectors a cell should hold, all labels together
+CELL_ROWS = 2_048  # vectors of the largest label that a cell should hold
+SALTS = 16
 MOST_CELLS = 4_096
 ROUNDS = 12
 TILE = 1_024
@@ -84,8 +86,11 @@ def k_means(sample: np.ndarray, n_cells: int, rounds: int = ROUNDS, seed: int =
     return centres
 
 
-def centroids(vectors: DataFrame, dim: int, n: int) -> np.ndarray:
-    """Centroids for n vectors of one length, fitted to a hash sample of bounded size."""
+def centroids(vectors: DataFrame, dim: int, n: int, largest: int) -> np.ndarray:
+    """Centroids for n vectors of one length, fitted to a hash sample of bounded size.
+
+    Only equal labels are compared, so the cells are as many as the largest label needs.
+    """
     mark = F.xxhash64(F.lit(3), F.col("node"))
     share = min(1.0, 1.2 * SAMPLE / max(1, n))
     level = min(int(-(1 << 63) + share * ((1 << 64) - 1)), (1 << 63) - 1)
@@ -93,7 +98,7 @@ def centroids(vectors: DataFrame, dim: int, n: int) -> np.ndarray:
             .select("node", "body", mark.alias("mark")).orderBy("mark", "node").limit(SAMPLE)
             .collect())
     sample = np.array([np.frombuffer(r.body) for r in rows])
-    cells = max(1, min(MOST_CELLS, n // CELL_ROWS, len(sample)))
+    cells = max(1, min(MOST_CELLS, largest // CELL_ROWS, len(sample)))
     return k_means(sample, cells)
 
 
@@ -120,10 +125,10 @@ def _cells(centres: np.ndarray, threshold: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            dims = b.column(2).to_numpy(zero_copy_only=False)
+            dims, large = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 5))
             homes = np.full(b.num_rows, -1)
             lists: list = [[-1]] * b.num_rows
-            own = np.flatnonzero(dims == dim)
+            own = np.flatnonzero((dims == dim) & large)
             for part in np.array_split(own, 1 + len(own) // 512):
                 if len(part):
                     v = np.frombuffer(b"".join(b.column(3).take(pa.array(part)).to_pylist()))
@@ -131,7 +136,7 @@ def _cells(centres: np.ndarray, threshold: float):
                     for i, probed in zip(part, cells, strict=True):
                         lists[i] = probed
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(homes, pa.int32()),
+                [*b.columns[:5], pa.array(homes, pa.int32()),
                  pa.array(lists, pa.list_(pa.int32()))],
                 names=["node", "label", "dim", "body", "copies", "home", "probed"])
     return emit
@@ -206,15 +211,24 @@ def _block_links(threshold: float):
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, links, near): partial numbers of links, and links of a spanning forest."""
-    sizes = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    labels = materialize(vectors.groupBy("label", "dim").agg(F.count("*").alias("size")),
+                         "label-sizes")
+    sizes = (labels.groupBy("dim").agg(F.sum("size").alias("n"), F.max("size").alias("largest"))
+             .orderBy(F.desc("n"), "dim").first())
     schema = "node long, label string, dim int, body binary, copies long, home int, " \
              "probed array<int>"
     if sizes is None:
         return vectors.select("node", F.lit(0).cast("long").alias("links"),
                               F.col("node").alias("near"))
-    centres = centroids(vectors, sizes.dim, sizes["count"])
-    placed = materialize(vectors.select("node", "label", "dim", "body", "copies")
-                         .mapInArrow(_cells(centres, threshold), schema), "cells")
+    centres = centroids(vectors, sizes.dim, sizes.n, sizes.largest)
+    # A label may hold a third of all rows: they are spread over salts.
+    large = labels.select("label", "dim", (F.col("size") > TILE).alias("large"), F.explode(
+        F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    placed = materialize(
+        vectors.withColumn("salt", salt).join(large, ["label", "dim", "salt"])
+        .select("node", "label", "dim", "body", "copies", "large")
+        .mapInArrow(_cells(centres, threshold), schema), "cells")
     rows = placed.withColumn("cell", F.explode("probed"))
     key = ["label", "dim", "cell"]
     blocks = (rows.groupBy(key).count()
