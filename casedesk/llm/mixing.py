@@ -3,7 +3,8 @@
 Sources in code-point order (null last) weigh ``WEIGHTS`` in turn and share as many words as the
 table has. A target above ``MAX_REPEATS`` times its source's words stops there; what is over is
 shared anew by weight. Words are dealt out in blocks of ``BLOCK`` words: first to the sources, by
-the highest quotients target / (2 k + 1), then by the same rule to a source's shards. A shard is a
+the highest quotients target / (2 k + 1), then by the same rule to a source's shards. What whole
+blocks leave of a source's target is settled in words, so sources of a few words meet theirs too. A shard is a
 hash bucket of its source's documents, read as one stream of words in seeded order. It gives whole
 passes over its stream first and the rest as blocks picked by a seeded permutation, so a document
 is taken as often as the blocks it lies in, and never more than ``MAX_REPEATS`` times.
@@ -16,7 +17,7 @@ configuration: up to ``MAX_SOURCES`` are apportioned on the driver, more are an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 from fractions import Fraction
 from math import gcd
 
@@ -58,21 +59,31 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS,
 
 
 def sainte_lague(shares: list[Fraction] | np.ndarray, seats: int) -> np.ndarray:
-    """Seats by highest quotients share / (2 k + 1); ties go to the earlier one."""
+    """Seats by highest quotients share / (2 k + 1); ties go to the earlier one.
+
+    All seats above a divisor are dealt at once, the divisor being the least, found by halving, that
+    deals no more than there are; the seats that are left lie on it and go by their quotients.
+    """
     shares = np.asarray([float(s) for s in shares])
     got = np.zeros(len(shares), np.int64)
     if not seats or not shares.sum() > 0:
         return got
-    got = np.floor(shares * (seats / shares.sum()) + 0.5).astype(np.int64)
-    while (missing := seats - int(got.sum())) != 0:
-        # Rounding is off by less than one seat each, so this loop runs a few times at most.
-        if missing > 0:
-            order = np.lexsort((np.arange(len(got)), -shares / (2 * got + 1)))
-            got[order[:missing]] += 1
+    low, high = 0.0, 2.1 * float(shares.max())
+    for _ in range(80):
+        middle = (low + high) / 2
+        if np.floor(shares / middle + 0.5).sum() > seats:
+            low = middle
         else:
-            quotient = np.where(got > 0, shares / np.maximum(2 * got - 1, 1), np.inf)
-            order = np.lexsort((-np.arange(len(got)), quotient))
-            got[order[:-missing]] -= 1
+            high = middle
+    # A little above it, so that no quotient on the divisor is dealt by rounding.
+    got = np.floor(shares / (high * (1 + 1e-12)) + 0.5).astype(np.int64)
+    heap = [(-share / (2 * k + 1), i) for i, (share, k) in enumerate(
+        zip(shares.tolist(), got.tolist(), strict=True)) if share > 0]
+    heapq.heapify(heap)
+    for _ in range(seats - int(got.sum())):
+        _, i = heap[0]
+        got[i] += 1
+        heapq.heapreplace(heap, (-shares[i] / (2 * got[i] + 1), i))
     return got
 
 
@@ -110,6 +121,11 @@ def _quotas(block: int, seed: int):
             free = np.where(got < most, words, 0)
             got = np.minimum(got + sainte_lague(free, seats - int(got.sum())), most)
         take = got * block
+        # The source's remainder in words: what whole blocks can't give, or gave too much.
+        short = min(round(shards.target.iloc[0]), MAX_REPEATS * int(words.sum())) - int(take.sum())
+        room = MAX_REPEATS * words - take if short > 0 else take
+        before = np.cumsum(room) - room
+        take = take + np.sign(short) * np.clip(abs(short) - before, 0, room)
         full = np.maximum(words // block, 1)
         rest = np.where(words > 0, take % np.maximum(words, 1), 0)
         step, shift = zip(*[_permutation(int(n), seed + i) for i, n in enumerate(full)])
@@ -143,7 +159,8 @@ def placed(docs: DataFrame, source_col: str, id_col: str, seed: int, block: int,
             .join(plan, src.cast("string").eqNullSafe(plan["source"]))
             .withColumn("shard", F.pmod("mix_mark", "n_shards").cast("int")))
     shards = (rows.groupBy("source_no", "shard")
-              .agg(F.sum(size).alias("words"), F.first("seats").alias("seats")))
+              .agg(F.sum(size).alias("words"), F.first("seats").alias("seats"),
+                   F.first("target").alias("target")))
     quotas = shards.groupBy("source_no").applyInPandas(_quotas(block, seed), QUOTA)
     order = Window.partitionBy("source_no", "shard").orderBy(
         F.xxhash64(F.lit(seed + 1), named(id_col)), named(id_col), F.col(size), *keep)
