@@ -199,6 +199,17 @@ def _stream_triage(w: Workspace) -> DataFrame:
     return w.spark.read.parquet(f"{folder}/out")
 
 
+def _stream_session(w: Workspace) -> SparkSession:
+    """A session whose streams keep their state in as many parts as there are cores.
+
+    A part is a store of its own with files of its own in every micro-batch, and their number
+    can't be changed later: Spark's default for shuffles is far too many here.
+    """
+    session = w.spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", w.spark.sparkContext.defaultParallelism)
+    return session
+
+
 def _land(df: DataFrame, folder: str) -> None:
     """Adds the rows to the files that a stream reads."""
     df.write.mode("append").parquet(folder)
@@ -214,7 +225,7 @@ def _stream_verdicts(w: Workspace) -> DataFrame:
                   [responses.filter(second)]):
         for part in parts:
             _land(part, f"{folder}/in")
-        stream = w.spark.readStream.schema(responses.schema).parquet(f"{folder}/in")
+        stream = _stream_session(w).readStream.schema(responses.schema).parquet(f"{folder}/in")
         verdicts.start_verdicts(
             stream, f"{folder}/out", f"{folder}/state", run="batch").awaitTermination()
     return verdicts.current(
@@ -232,7 +243,7 @@ def _stream_context(w: Workspace) -> DataFrame:
     for part in (tweets.filter("inbound"), tweets.filter("not inbound"), context.heartbeat(w.spark)):
         _land(part, f"{folder}/in")
         context.start_triage(
-            context.tweet_stream(w.spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state",
+            context.tweet_stream(_stream_session(w), f"{folder}/in"), f"{folder}/out", f"{folder}/state",
             late_by).awaitTermination()
     return w.spark.read.parquet(f"{folder}/out")
 
