@@ -7,16 +7,18 @@ threshold, and these are verified on their sets.
 
 Points that could match are brought together by prefixes: two sets that match share one of
 their first ``n - ceil(t n) + 1`` shingles in any order that is the same for all documents. The
-order puts the (at most ``HOT_KEYS``) most frequent shingles of prefixes last, so that passages held by
-many documents bring nobody together unless a document has little else. The list of frequent
-shingles only orders; results are exact whatever is on it. Blocks of frequent shingles are split
-into tiles of about ``TILE`` documents.
+order puts the (at most ``HOT_KEYS``) most frequent shingles of prefixes last, by their number, so that
+passages held by many documents bring nobody together unless a document has little else. The list
+of frequent shingles only orders; results are exact whatever is on it. Blocks of frequent shingles
+are split into tiles of about ``TILE`` documents.
 
 Links are wanted, not all pairs of a group of copies: equal sets are one node, and two rounds in
 which a point takes its best partner of another component, tile by tile, connect the large groups
 first. Then every pair of nodes of different components that shares a block, whatever its tiles, and
-passes the R-tree is verified, so no link between components is lost. Each of their common prefix keys
-gives a row, and the number of these bounds the overlap once more before texts are moved.
+passes the R-tree is verified, so no link between components is lost. There the tree knows, too, how
+many shingles each set has from the block's key on in the common order: what two sets share starts at
+their first common key, so in its block the smaller of these numbers bounds the overlap. Two sets
+that meet only behind many of their own shingles, as those with a common passage do, give no pair.
 
 Words are lower-cased in A-Z. Fewer than five words are one shingle; no words, or a null text, make
 an empty set, which is linked with nothing. Null ids never become the name of a component unless
@@ -131,7 +133,7 @@ def hot_keys(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable:
-    """(key, tile, sid) of every prefix key.
+    """(key, tile, sid, rest) of every prefix key; ``rest`` counts shingles from this one on.
 
     Keys with many documents have several tiles, counted from one; all others have tile 0.
     """
@@ -139,13 +141,14 @@ def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches):
-            keys, tile, sids, sizes = [], [], [], []
+            keys, tile, sids, sizes, rests = [], [], [], [], []
             for _, _, found in sets:
                 place = np.searchsorted(hot, found)
                 place[place == len(hot)] = 0
                 is_hot = hot[place] == found if len(hot) else np.zeros(len(found), bool)
-                cold = np.flatnonzero(~is_hot)
-                take = np.concatenate((cold, np.flatnonzero(is_hot)))[: prefix_length(len(found))]
+                cold, frequent = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+                frequent = frequent[np.argsort(counts[place[frequent]], kind="stable")]
+                take = np.concatenate((cold, frequent))[: prefix_length(len(found))]
                 name = set_id(found)
                 own = np.zeros(len(take), np.int32)
                 if len(take) > len(cold):
@@ -157,19 +160,21 @@ def _prefixes(hot: np.ndarray, counts: np.ndarray) -> Callable:
                 tile.append(own)
                 sids.append(name)
                 sizes.append(len(take))
+                rests.append(len(found) - np.arange(len(take), dtype=np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)),
                      pa.array(np.concatenate(tile)),
-                     pa.array(np.repeat(np.array(sids, np.int64), sizes))],
-                    names=["key", "tile", "sid"])
+                     pa.array(np.repeat(np.array(sids, np.int64), sizes)),
+                     pa.array(np.concatenate(rests))],
+                    names=["key", "tile", "sid", "rest"])
     return emit
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, tile, sid: each once, without blocks of one set."""
     for table in runs(batches, 2):
-        key, tile, sid = (c.to_numpy() for c in table.columns)
+        key, tile, sid, rest = (c.to_numpy() for c in table.columns)
         block = np.concatenate(([0], changes(table, 2)))
         one = np.concatenate(([True], sid[1:] != sid[:-1]))
         one[block] = True
@@ -178,24 +183,31 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = one & np.repeat(many | (tile[block] > 0), np.diff(np.append(block, len(key))))
         if keep.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[keep]) for c in (key, tile, sid)], names=["key", "tile", "sid"])
+                [pa.array(c[keep]) for c in (key, tile, sid, rest)],
+                names=["key", "tile", "sid", "rest"])
 
 
 # --- R-tree -----------------------------------------------------------------------------------
 
 class RTree:
-    """Count vectors in a packed R-tree; a node knows its largest coordinates and smallest set."""
+    """Count vectors in a packed R-tree.
 
-    def __init__(self, points: np.ndarray):
+    A node knows its largest coordinates, its smallest set and the most that a set below it can
+    still share (``rests``; all of the set if not given).
+    """
+
+    def __init__(self, points: np.ndarray, rests: np.ndarray | None = None):
         self.points, self.sizes = points, points.sum(1)
         self.order = self._packed(np.arange(len(points)))
         tops, least = points[self.order], self.sizes[self.order]
-        self.levels = [(tops, least)]
+        most = least if rests is None else rests[self.order]
+        self.levels = [(tops, least, most)]
         while len(tops) > FANOUT:
             cuts = np.arange(0, len(tops), FANOUT)
             tops = np.maximum.reduceat(tops, cuts, axis=0)
             least = np.minimum.reduceat(least, cuts)
-            self.levels.append((tops, least))
+            most = np.maximum.reduceat(most, cuts)
+            self.levels.append((tops, least, most))
 
     def _packed(self, rows: np.ndarray) -> np.ndarray:
         """Rows in leaf order: halved along the coordinate that spreads most."""
@@ -209,14 +221,20 @@ class RTree:
             half *= 2
         return np.concatenate((self._packed(rows[:half]), self._packed(rows[half:])))
 
-    def matches(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, queries: np.ndarray, rests: np.ndarray | None = None,
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, point and bound of all pairs whose overlap could reach the threshold."""
         sizes = queries.sum(1)
+        rests = sizes if rests is None else rests
         top = len(self.levels[-1][0])
         q = np.repeat(np.arange(len(queries)), top)
         node = np.tile(np.arange(top), len(queries))
         for depth in range(len(self.levels) - 1, -1, -1):
-            tops, least = self.levels[depth]
+            tops, least, most = self.levels[depth]
+            # The cheap bound first: coordinates are compared for what it leaves.
+            near = ((100 + PERCENT) * np.minimum(rests[q], most[node])
+                    >= PERCENT * (sizes[q] + least[node]))
+            q, node = q[near], node[near]
             keep, bounds = [], []
             for at in range(0, len(q), 1 << 14):
                 part = slice(at, at + (1 << 14))
@@ -237,17 +255,18 @@ class RTree:
 
 
 def _pairs(one: bool) -> Callable:
-    """Candidate pairs of blocks: rows (key, i, j, tile, sid, component, point), sorted by block.
+    """Candidate pairs of blocks: rows (key, i, j, tile, sid, component, rest, point), sorted by block.
 
-    With ``one`` every point gets the partner of another component with the best bound.
+    With ``one`` every point gets the partner of another component with the best bound, at any
+    common key; else pairs come from all blocks that can be that of their first common key.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
             cuts = np.concatenate(([0], changes(table, 3), [table.num_rows]))
-            i, j, tile, sid, group = (table.column(c).to_numpy() for c in range(1, 6))
-            raw = b"".join(table.column(6).to_pylist())
+            i, j, tile, sid, group, rest = (table.column(c).to_numpy() for c in range(1, 7))
+            raw = b"".join(table.column(7).to_pylist())
             points = np.frombuffer(raw, "<u4").reshape(-1, GROUPS).astype(np.int64)
-            sizes = points.sum(1)
+            rest = points.sum(1) if one else rest.astype(np.int64)
             found_a, found_b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 left = np.arange(lo, hi)
@@ -256,7 +275,7 @@ def _pairs(one: bool) -> Callable:
                     left, right = left[tile[lo:hi] == i[lo]], left[tile[lo:hi] == j[lo]]
                 if not len(left) or not len(right) or hi - lo < 2:
                     continue
-                q, p, bound = RTree(points[right]).matches(points[left])
+                q, p, bound = RTree(points[right], rest[right]).matches(points[left], rest[left])
                 a, b = left[q], right[p]
                 fit = (group[a] != group[b]) & (sid[a] < sid[b] if i[lo] == j[lo]
                                                 else np.ones(len(a), bool))
@@ -270,9 +289,8 @@ def _pairs(one: bool) -> Callable:
                 found_b.append(np.where(swap, a, b))
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (sid[a], sid[b], sizes[a], sizes[b])],
-                    names=["a", "b", "n_a", "n_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b])],
+                                                 names=["a", "b"])
     return emit
 
 
@@ -319,19 +337,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["a", "b"])
 
 
-def possible(pairs: DataFrame) -> DataFrame:
-    """The pairs whose number of common prefix keys, one row each, allows for enough overlap.
-
-    What two sets share is in both prefixes or behind the shorter-reaching one, so the overlap is
-    at most the common keys and what one set has behind its prefix.
-    """
-    behind = F.expr(f"ceil({PERCENT} * greatest(n_a, n_b) / 100) - 1")
-    return (pairs.groupBy("a", "b", "n_a", "n_b").count()
-            .where((F.col("count") + behind) * (100 + PERCENT)
-                   >= PERCENT * (F.col("n_a") + F.col("n_b")))
-            .select("a", "b"))
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("sid").alias("a"), F.col("body").alias("body_a"))
     right = sets.select(F.col("sid").alias("b"), F.col("body").alias("body_b"))
@@ -358,20 +363,20 @@ def _mixed(shared: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, sets: DataFrame, one: bool) -> DataFrame:
-    """Pairs of the rows (key, i, j, tile, sid, component)."""
+    """Pairs of the rows (key, i, j, tile, sid, component, rest), each once."""
     return (rows.join(sets.select("sid", "point"), "sid")
-            .select("key", "i", "j", "tile", "sid", "component", "point")
+            .select("key", "i", "j", "tile", "sid", "component", "rest", "point")
             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_pairs(one), "a long, b long, n_a long, n_b long"))
+            .mapInArrow(_pairs(one), "a long, b long").distinct())
 
 
 def linked_sets(texts: DataFrame) -> DataFrame:
     """(node, component) of all sets that are linked with another one; ``texts`` is one column."""
     hot, counts = hot_keys(texts)
     shared = materialize(
-        texts.mapInArrow(_prefixes(hot, counts), "key long, tile int, sid long")
+        texts.mapInArrow(_prefixes(hot, counts), "key long, tile int, sid long, rest int")
         .repartition("key", "tile").sortWithinPartitions("key", "tile", "sid")
-        .mapInArrow(_shared, "key long, tile int, sid long"), "shared-keys")
+        .mapInArrow(_shared, "key long, tile int, sid long, rest int"), "shared-keys")
     bodies = texts.mapInArrow(_packed_texts, "sid long, point binary, body binary")
     sets = materialize(
         bodies.join(shared.select("sid").distinct(), "sid").groupBy("sid")
@@ -392,10 +397,7 @@ def linked_sets(texts: DataFrame) -> DataFrame:
             other = F.explode(F.sequence(F.least(F.lit(1), "last_tile"), F.col("last_tile")))
             rows = (rows.withColumn("other", other)
                     .withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}))
-        pairs = _candidates(rows, sets, one)
-        # In the last round every common key of a pair gives a row.
-        pairs = pairs.select("a", "b").distinct() if one else possible(pairs)
-        new = materialize(verified(pairs, sets), "links")
+        new = materialize(verified(_candidates(rows, sets, one), sets), "links")
         links = new if links is None else links.union(new)
         found = components(links)
     return found
