@@ -47,6 +47,7 @@ class Place:
     block: bool
     shown: bool
     link: bool
+    depth: int = 0
     below: dict = field(default_factory=dict)
 
     def child(self, tag: str, attrs: str) -> Place:
@@ -61,16 +62,66 @@ class Place:
             if HIDDEN.search(attrs):
                 own.add("hidden")
             above = {f for f in self.features if not f.startswith("near:")}
+            features = frozenset(above | own | near)
+            if features == self.features:  # deep nesting of one tag shares its set
+                features = self.features
             shown = self.shown and tag not in UNSHOWN and not any(
                 tag in names and f"in:{outer}" in above for outer, names in UNSHOWN_IN.items())
-            found = Place(tag, self, frozenset(above | own | near), tag in BLOCK, shown,
-                          self.link or tag == "a")
-            # Attributes of no interest may differ without end, and be of any length.
-            if len(self.below) < 2_000 and len(attrs) <= 1_000:
+            found = Place(tag, self, features, tag in BLOCK, shown, self.link or tag == "a",
+                          self.depth + 1)
+            # Attributes of no interest may differ without end, and be of any length; chains of any
+            # length are not worth keeping beyond their page.
+            if len(self.below) < 2_000 and len(attrs) <= 1_000 and self.depth < 200:
                 self.below[tag, attrs] = found
         return found
 
 
+class Open:
+    """The open elements of a page: as a chain, by tag, and the blocks among them.
+
+    Every element is pushed and closed once, and no question walks the chain, so a page takes time
+    in proportion to its length however deep it is nested.
+    """
+
+    def __init__(self, top: Place):
+        self.chain, self.blocks = [top], [top]
+        self.by_tag: dict[str, list[Place]] = {}
+
+    def push(self, place: Place) -> None:
+        self.chain.append(place)
+        self.by_tag.setdefault(place.tag, []).append(place)
+        if place.block:
+            self.blocks.append(place)
+
+    def close(self, place: Place) -> None:
+        """Closes the element and all within it."""
+        while True:
+            last = self.chain.pop()
+            self.by_tag[last.tag].pop()
+            if last.block:
+                self.blocks.pop()
+            if last is place:
+                return
+
+    def nearest(self, tags: tuple[str, ...] | frozenset[str]) -> Place | None:
+        """The innermost open element with one of these tags."""
+        found = [own[-1] for own in map(self.by_tag.get, tags) if own]
+        return max(found, key=lambda place: place.depth, default=None)
+
+    def make_room(self, name: str) -> None:
+        """Closes what the new element can't stand in: open paragraphs, items of the same list."""
+        while True:
+            if name in NO_PARAGRAPH and self.blocks[-1].tag == "p":
+                self.close(self.blocks[-1])
+            item = self.nearest(INSIDE[name]) if name in INSIDE else None
+            if item is None:
+                return
+            around = self.nearest(LISTS)
+            if around is not None and around.depth > item.depth:
+                return
+            self.close(item)
+
+
 @dataclass
 class Leaf:
     """Text of a block, its nearest block element and how many of its characters are links."""
@@ -88,7 +139,7 @@ def leaves(page: str, top: Place) -> list[Leaf]:
     """The blocks of a page in order; white space is collapsed, references are decoded."""
     out: list[Leaf] = []
     parts: list[tuple[str, bool]] = []
-    place, block, at, n = top, top, 0, len(page)
+    stack, place, block, at, n = Open(top), top, top, 0, len(page)
     last = page.rfind(">") + 1  # with no tag behind it, none is read in vain up to the end
 
     def close() -> None:
@@ -120,14 +171,13 @@ def leaves(page: str, top: Place) -> list[Leaf]:
             continue
         name = name.lower()
         if found["end"]:
-            node = place
-            while node.parent and node.tag != name:
-                node = node.parent
-            if node.parent and node.tag == name:
-                if name in BLOCK or node is not place and _has_block(place, node):
+            same = stack.by_tag.get(name)
+            node = same[-1] if same else None
+            if node:
+                if name in BLOCK or block.depth > node.depth:
                     close()
-                place = node.parent
-                block = _block_of(place)
+                stack.close(node)
+                place, block = stack.chain[-1], stack.blocks[-1]
             elif name == "p":
                 close()
             continue
@@ -136,52 +186,21 @@ def leaves(page: str, top: Place) -> list[Leaf]:
             continue
         if name in BLOCK:
             close()
-            place = _made_room(place, name)
+            stack.make_room(name)
+            place, block = stack.chain[-1], stack.blocks[-1]
         if name in VOID:
-            block = _block_of(place)
             continue
         attrs = found["attrs"]
         if name == "text":  # a label of a drawing
             add(" ")
-        place = place.child(name, attrs)
-        block = _block_of(place)
         if attrs.endswith("/") and name not in BLOCK:
-            place = place.parent
-        elif name in RAW:
+            continue
+        if name in RAW:
             stop = re.compile(rf"(?i)</{name}\b[^>]*>").search(page, at)
             at = stop.end() if stop else n
-            place = place.parent
-            block = _block_of(place)
+            continue
+        place = place.child(name, attrs)
+        stack.push(place)
+        block = stack.blocks[-1]
     close()
     return out
-
-
-def _has_block(place: Place, above: Place) -> bool:
-    while place is not above:
-        if place.block:
-            return True
-        place = place.parent
-    return False
-
-
-def _block_of(place: Place) -> Place:
-    while not place.block:
-        place = place.parent
-    return place
-
-
-def _made_room(place: Place, name: str) -> Place:
-    """Closes what the new element can't stand in: open paragraphs, items of the same list."""
-    if name in NO_PARAGRAPH:
-        node = place
-        while node.parent and (not node.block or node.tag == "p"):
-            if node.tag == "p":
-                return node.parent
-            node = node.parent
-    if name in INSIDE:
-        node = place
-        while node.parent and node.tag not in LISTS:
-            if node.tag in INSIDE[name]:
-                return _made_room(node.parent, name)
-            node = node.parent
-    return place

@@ -1,5 +1,7 @@
 """Archives, extraction and URL rules."""
 
+import time
+
 import pytest
 
 from casedesk.llm import dom, html_text, url_rules, warc
@@ -157,3 +159,21 @@ def test_rules_without_a_word(spark):
                                   "page_id long, url string")
     assert rows_of(url_rules.judged(pages, rules), "page_id", "verdict") == [
         (1, "block"), (2, "allow")]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<b>" * 200_000 + "deep", 1),
+    ("<div>" * 200_000 + "deep" + "</i></p></div>" * 200_000, 1),
+    ("<ul><li><p>one" * 20_000 + "</span>" * 200_000, 20_000)])
+def test_depth_costs_no_more_than_length(page, want):
+    start = time.process_time()
+    assert len(dom.leaves(page, dom.root())) == want
+    assert time.process_time() - start < 30
+
+
+def test_elements_that_close_others():
+    page = ("<ul><li>a<li>b<ul><li>c</ul>d<li><p>e<p>f</ul>g<p>h<b>i<div>j</div>k</b>"
+            "<table><tr><td>l<td>m<tr><td>n</table><dl><dt>o<dd>p</dl><i/>q<br>r</p>s")
+    found = [leaf.text for leaf in dom.leaves(page, dom.root())]
+    assert found == ["a", "b", "c", "d", "e", "f", "g", "hi", "j", "k", "l", "m", "n", "o", "p",
+                     "q r", "s"]
