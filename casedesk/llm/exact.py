@@ -12,8 +12,8 @@ receiving side the rows arrive sorted by length and hash, so only the text being
 get copies; every other terminal is final when its subtree goes.
 
 Nulls count as empty texts, and empty texts are copies of each other. A null id is larger than any
-id. Rows that repeat both id and text are copies like any other and get the same answer. Tables
-without rows give no rows; further columns are kept, whatever their names.
+id. Rows that repeat both id and text, or copies without ids, are copies like any other: one of them
+stays. Tables without rows give no rows; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casedesk.llm.frames import batch, fresh, named, sliced
 from casedesk.llm.words import texts
+from casedesk.session import materialize
 
 TRIE_BYTES = 48 << 20
 BLANK = b" \t\n\x0b\x0c\r"
@@ -199,26 +200,31 @@ def normal_digest(text: Column) -> Column:
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      ) -> DataFrame:
-    """Per row: id, keep_id, group_size, kept, text_sha256; texts are dropped on the way."""
-    row, digest, points = "doc_row", "digest_hex", "points_own"
+    """Per row: id, keep_id, group_size, kept, text_sha256; texts are dropped on the way.
+
+    Of rows that equal the one that stays in id and length, the first by a row number does. The
+    numbers are written, as they may differ when they are made again.
+    """
     text = named(text_col).cast("string")
-    left = docs.select(
-        named(id_col).cast("long").alias(row), normal_digest(text).alias(digest),
-        F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias(points))
-    right = owners(docs, id_col, text_col).withColumn("digest", F.lower(F.hex("digest")))
-    kept = F.col(row).eqNullSafe(F.col("owner")) & (F.col(points) == F.col("owner_points"))
-    return left.join(right, left[digest] == right["digest"]).select(
-        F.col(row).alias("doc_id"), F.col("owner").alias("keep_id"),
-        F.col("copies").alias("group_size"), kept.alias("kept"),
-        F.col(digest).alias("text_sha256"))
+    rows = materialize(docs.select(
+        named(id_col).cast("long").alias("doc_id"), normal_digest(text).alias("text_sha256"),
+        F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("points"),
+        F.monotonically_increasing_id().alias("row")), "digests")
+    groups = owners(docs, id_col, text_col).withColumn("digest", F.lower(F.hex("digest")))
+    first = rows.groupBy(F.col("text_sha256").alias("digest"), F.col("doc_id").alias("owner"),
+                         F.col("points").alias("owner_points")).agg(F.min("row").alias("first"))
+    same = (groups["owner"].eqNullSafe(first["owner"])
+            & (groups["owner_points"] == first["owner_points"]))
+    stay = groups.join(first, (groups["digest"] == first["digest"]) & same).select(
+        groups["digest"], groups["owner"], groups["copies"], first["first"])
+    return rows.join(stay, rows["text_sha256"] == stay["digest"]).select(
+        "doc_id", F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"),
+        (F.col("row") == F.col("first")).alias("kept"), "text_sha256")
 
 
 def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      ) -> DataFrame:
-    """The documents that stay, all their columns unchanged.
-
-    Rows that repeat the owner's id and text all stay, as they cannot be told apart.
-    """
+    """The documents that stay, one of each group, all their columns unchanged."""
     row, digest, points = fresh(docs, "row", "digest", "points")
     text = named(text_col).cast("string")
     left = docs.select(
@@ -231,4 +237,4 @@ def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return (left.join(right, (left[digest] == right["digest_hex"])
                       & own.eqNullSafe(right["owner"])
                       & (left[points] == right["owner_points"]), "left_semi")
-            .select(f"{row}.*"))
+            .dropDuplicates([digest]).select(f"{row}.*"))

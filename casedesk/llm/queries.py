@@ -142,15 +142,15 @@ with rows as (
   select doc_id, length(coalesce(text, '')) as points,
          regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body
   from documents),
+ranked as (
+  select *, row_number() over (partition by body order by points desc, doc_id nulls last) as place
+  from rows),
 groups as (
   select body, count(*) as group_size,
-         first(doc_id order by points desc, doc_id nulls last) as keep_id,
-         max(points) as most
+         first(doc_id order by points desc, doc_id nulls last) as keep_id
   from rows group by body)
-select r.doc_id, g.keep_id, g.group_size,
-       r.doc_id is not distinct from g.keep_id and r.points = g.most as kept,
-       sha256(r.body) as text_sha256
-from rows r join groups g using (body)
+select r.doc_id, g.keep_id, g.group_size, r.place = 1 as kept, sha256(r.body) as text_sha256
+from ranked r join groups g using (body)
 """
 
 OP11_SQL = r"""

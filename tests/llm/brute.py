@@ -44,12 +44,15 @@ def exact(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:
         groups[BLANK.sub("", text or "")].append((-len(text or ""), doc_id is None, doc_id or 0))
-    out = []
+    out, settled = [], set()
     for doc_id, text in rows:
         body = BLANK.sub("", text or "")
         best = min(groups[body])
         keep = None if best[1] else best[2]
-        out.append((doc_id, keep, len(groups[body]), doc_id == keep and -len(text or "") == best[0],
+        stays = doc_id == keep and -len(text or "") == best[0] and body not in settled
+        if stays:
+            settled.add(body)
+        out.append((doc_id, keep, len(groups[body]), stays,
                     hashlib.sha256(body.encode()).hexdigest()))
     return sorted(out, key=str)
 
