@@ -41,9 +41,11 @@ def labelled(messages: DataFrame) -> DataFrame:
 
 
 def conversation_stream(spark: SparkSession, folder: str, pattern: str = "conversations.parquet") -> DataFrame:
-    """Tweets of the conversation files that arrive in a folder."""
-    files = spark.readStream.schema(schemas.CONVERSATIONS).option(
-        "pathGlobFilter", pattern).parquet(folder)
+    """Tweets of the conversation files that arrive in a folder; a match may be a folder of part files.
+
+    A stream takes no path of a single file, but what a pattern finds; braces make one of any name.
+    """
+    files = spark.readStream.schema(schemas.CONVERSATIONS).parquet(f"{folder}/{{{pattern}}}")
     return tweets_from_conversations(files)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casedesk.operators import judging
-from casedesk.plans import fixtures
+from casedesk.plans import catalog, fixtures
 from casedesk.plans.workspace import Workspace
 from casedesk.streaming import context, triage, verdicts
 
@@ -141,3 +141,16 @@ def test_context_from_the_stream(spark, workspace, tmp_path, order):
         assert len(found) <= len(want) and set(found) <= set(want)
     land(context.heartbeat(spark), folder)
     assert run() == want
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_conversations_in_part_files_are_triaged(spark, tmp_path, parts):
+    table = spark.createDataFrame(
+        [(c, t, r, f"my battery drains {c}") for c in range(6)
+         for t, r in enumerate(("user", "assistant", "user"))] + [(None, 0, "user", None)],
+        "conv_id long, turn long, role string, text string")
+    table.repartition(parts).write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "other.parquet"))
+    found = catalog.queries()["stream_triage"](spark, str(tmp_path))
+    tweets = Workspace(spark, str(tmp_path)).tweets
+    assert rows(found) == rows(triage.triage(tweets, tweets)) and found.count() == 12
