@@ -29,23 +29,29 @@ def rule_table(spark: SparkSession, lexicons: dict[str, Iterable]) -> DataFrame:
 
 
 def grams(text: Column, size: int) -> Column:
-    """The different runs of ``size`` characters of a text."""
-    characters = F.col("_characters")
-    parts = [F.slice(characters, i + 1, F.size(characters) - size + 1) for i in range(size)]
-    runs = parts[0] if size == 1 else F.transform(
-        F.arrays_zip(*[p.alias(f"c{i}") for i, p in enumerate(parts)]),
-        lambda run: F.concat(*[run[f"c{i}"] for i in range(size)]))
-    return F.when(F.size(characters) >= size, F.array_distinct(runs)).otherwise(
-        F.array().cast("array<string>"))
+    """The different runs of ``size`` characters of a text.
+
+    One expression finds them all: it looks ahead and goes on by one character.
+    """
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+    return F.array_distinct(runs)
 
 
 def _with_grams(df: DataFrame, text: str, sizes: Iterable[int], own_size: bool = False) -> DataFrame:
     """One row per row and gram: of all the sizes, or of the size that fits a term's length."""
-    cut = staged(df, _characters=F.filter(F.split(F.col(text), ""), lambda c: c != ""))
     fits = [F.when(F.least(F.length(text), F.lit(GRAM)) == n, grams(F.col(text), n))
             if own_size else grams(F.col(text), n) for n in sizes]
     found = F.coalesce(*fits) if own_size else F.flatten(F.array(*fits))
-    return cut.withColumn("gram", F.explode(found)).drop("_characters")
+    return df.withColumn("gram", F.explode(found))
+
+
+def gram_counts(texts: DataFrame, text: str, sizes: Iterable[int]) -> DataFrame:
+    """(gram, n): how many texts hold a gram.
+
+    Counted in the tasks, before any shuffle: different grams are few, those of all texts are not.
+    """
+    return _with_grams(texts.select(text), text, sizes).groupBy("gram").agg(
+        F.count("*").alias("n"))
 
 
 def term_index(rules: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
@@ -55,9 +61,7 @@ def term_index(rules: DataFrame, texts: DataFrame, text: str = "text") -> DataFr
     if not sizes:
         return rules.withColumn("gram", F.lit(""))
     terms = _with_grams(rules.select("term").distinct(), "term", sizes, own_size=True)
-    counts = (_with_grams(texts.select(text), text, sizes)
-              .join(terms.select("gram").distinct(), "gram")
-              .groupBy("gram").agg(F.count("*").alias("n")))
+    counts = gram_counts(texts, text, sizes)
     rarest = (terms.join(counts, "gram", "left").groupBy("term")
               .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
     return materialize(rules.join(rarest, "term").select(

@@ -1,6 +1,7 @@
 """Rules from tables against chains of ``contains``; samples by counted hashes; cubes."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,17 @@ def test_a_hundred_thousand_terms(spark):
     assert {labels[1_000 + i] for i in range(300)} == {"-"}
 
 
+def test_grams_are_counted_before_they_are_shuffled(spark):
+    texts = ["", None, "a", "é😀", "né😀n\nné", "aaaa", "ab\r\nab", "a"] + ["my battery drains"] * 50
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = rule_tables.gram_counts(df, "text", [1, 3])
+    want = Counter(g for t in texts for g in {
+        (t or "")[i:i + n] for n in (1, 3) for i in range(len(t or "") - n + 1)})
+    assert {r.gram: r.n for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_count" in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 700, 999, 1_000, 1_001, 2_999, 3_000, 5_000])
 def test_samples_by_counts_equal_samples_by_order(spark, n, monkeypatch):
     monkeypatch.setattr(sampling, "MOST_ORDERED", 3)
