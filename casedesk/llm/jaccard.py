@@ -19,6 +19,9 @@ passes the R-tree is verified, so no link between components is lost. There the
 many shingles each set has from the block's key on in the common order: what two sets share starts at
 their first common key, so in its block the smaller of these numbers bounds the overlap. Two sets
 that meet only behind many of their own shingles, as those with a common passage do, give no pair.
+A pair comes from the block of its first common key alone, as far as the first ``FIRST_KEYS`` keys of
+its sets tell. Before whole sets are fetched, pairs are held against counts in ``FINE`` groups: sets
+differ at least by the sum of their differences there.
 
 Words are lower-cased in A-Z. Fewer than five words are one shingle; no words, or a null text, make
 an empty set, which is linked with nothing. Null ids never become the name of a component unless
@@ -49,6 +52,8 @@ TILE = 512
 FANOUT = 16
 PARTNER_ROUNDS = 2
 KEYS_TRIED = 3
+FIRST_KEYS = 8
+FINE = 1024
 
 
 # --- sets -------------------------------------------------------------------------------------
@@ -74,6 +79,11 @@ def point_of(found: np.ndarray) -> bytes:
                        minlength=GROUPS).astype("<u4").tobytes()
 
 
+def fine_of(found: np.ndarray) -> bytes:
+    """Counts in finer groups, modulo 256."""
+    return np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=FINE).astype("u1").tobytes()
+
+
 Sets = Iterator[tuple[int, bytes, np.ndarray]]
 
 
@@ -254,11 +264,33 @@ class RTree:
         return q, self.order[node], bound
 
 
+def _padded(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as rows of a matrix, and which of its places hold an entry."""
+    lists = pa.concat_arrays(lists.chunks)
+    ends = lists.offsets.to_numpy()
+    known = np.arange(FIRST_KEYS) < np.diff(ends)[:, None]
+    out = np.zeros(known.shape, np.int64)
+    out[known] = lists.values.to_numpy()[ends[0]:ends[-1]]
+    return out, known
+
+
+def _common(lists: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the lists of two rows have an entry in common, for each pair."""
+    found = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at:at + (1 << 14)], b[at:at + (1 << 14)]
+        same = lists[x][:, :, None] == lists[y][:, None, :]
+        found[at:at + (1 << 14)] = (
+            same & known[x][:, :, None] & known[y][:, None, :]).any((1, 2))
+    return found
+
+
 def _pairs(one: bool) -> Callable:
-    """Candidate pairs of blocks: rows (key, i, j, tile, sid, component, rest, point), sorted by block.
+    """Candidate pairs of blocks: rows (key, i, j, tile, sid, component, rest, point, earlier), sorted by block.
 
     With ``one`` every point gets the partner of another component with the best bound, at any
-    common key; else pairs come from all blocks that can be that of their first common key.
+    common key; else pairs come from all blocks that can be that of their first common key, but
+    where two sets have one of their earlier keys in common.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
@@ -267,6 +299,7 @@ def _pairs(one: bool) -> Callable:
             raw = b"".join(table.column(7).to_pylist())
             points = np.frombuffer(raw, "<u4").reshape(-1, GROUPS).astype(np.int64)
             rest = points.sum(1) if one else rest.astype(np.int64)
+            earlier, known = _padded(table.column(8))
             found_a, found_b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 left = np.arange(lo, hi)
@@ -280,6 +313,9 @@ def _pairs(one: bool) -> Callable:
                 fit = (group[a] != group[b]) & (sid[a] < sid[b] if i[lo] == j[lo]
                                                 else np.ones(len(a), bool))
                 a, b, bound = a[fit], b[fit], bound[fit]
+                if not one:
+                    new = ~_common(earlier, known, a, b)
+                    a, b = a[new], b[new]
                 if one and len(a):
                     order = np.lexsort((b, -bound, a))
                     first = np.concatenate(([True], a[order][1:] != a[order][:-1]))
@@ -299,12 +335,44 @@ def _pairs(one: bool) -> Callable:
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for _, sets in _sets(batches):
-        rows = [(set_id(found), point_of(found), pack.compress(raw)) for _, raw, found in sets]
+        rows = [(set_id(found), len(found), point_of(found), pack.compress(fine_of(found)),
+                 pack.compress(raw)) for _, raw, found in sets]
         if rows:
-            sid, point, body = zip(*rows, strict=True)
+            sid, n, *parts = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sid, pa.int64()), pa.array(point, pa.binary()),
-                 pa.array(body, pa.binary())], names=["sid", "point", "body"])
+                [pa.array(sid, pa.int64()), pa.array(n, pa.int64()),
+                 *[pa.array(p, pa.binary()) for p in parts]],
+                names=["sid", "n", "point", "fine", "body"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, n_a, n_b, fine_a, fine_b) whose finer counts allow a match.
+
+    Counts are known modulo 256; two differ at least by the shorter way round.
+    """
+    unpack = zstandard.ZstdDecompressor()
+
+    def counts(column: pa.Array) -> np.ndarray:
+        raw = b"".join(unpack.decompress(x) for x in column.to_pylist())
+        return np.frombuffer(raw, "u1").reshape(-1, FINE)
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1 << 11):
+            b = whole.slice(at, 1 << 11)
+            way = counts(b.column(4)) - counts(b.column(5))
+            apart = np.minimum(way, -way).sum(1, dtype=np.int64)
+            total = b.column(2).to_numpy() + b.column(3).to_numpy()
+            close = (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
+            yield b.select(["a", "b"]).filter(pa.array(close))
+
+
+def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs without those that differ too much in finer groups."""
+    left, right = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"),
+                               F.col("fine").alias(f"fine_{s}")) for s in "ab")
+    return (pairs.join(right, "b").join(left, "a")
+            .select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
+            .mapInArrow(_close, "a long, b long"))
 
 
 def matches(a: np.ndarray, b: np.ndarray) -> bool:
@@ -362,10 +430,21 @@ def _mixed(shared: DataFrame) -> DataFrame:
     return shared.join(blocks, "key")
 
 
+def _with_earlier(rows: DataFrame) -> DataFrame:
+    """Adds ``earlier``: those of the set's first keys that come before the row's one."""
+    place = F.struct((-F.col("rest")).alias("place"), "key")
+    first = rows.groupBy("sid").agg(
+        F.slice(F.array_sort(F.collect_set(place)), 1, FIRST_KEYS)["key"].alias("first"))
+    here = F.array_position("first", F.col("key"))
+    before = F.when(here > 0, here - 1).otherwise(F.size("first"))
+    return rows.join(first, "sid").withColumn(
+        "earlier", F.slice("first", F.lit(1), before.cast("int"))).drop("first")
+
+
 def _candidates(rows: DataFrame, sets: DataFrame, one: bool) -> DataFrame:
-    """Pairs of the rows (key, i, j, tile, sid, component, rest), each once."""
+    """Pairs of the rows (key, i, j, tile, sid, component, rest, earlier), each once."""
     return (rows.join(sets.select("sid", "point"), "sid")
-            .select("key", "i", "j", "tile", "sid", "component", "rest", "point")
+            .select("key", "i", "j", "tile", "sid", "component", "rest", "point", "earlier")
             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             .mapInArrow(_pairs(one), "a long, b long").distinct())
 
@@ -377,10 +456,11 @@ def linked_sets(texts: DataFrame) -> DataFrame:
         texts.mapInArrow(_prefixes(hot, counts), "key long, tile int, sid long, rest int")
         .repartition("key", "tile").sortWithinPartitions("key", "tile", "sid")
         .mapInArrow(_shared, "key long, tile int, sid long, rest int"), "shared-keys")
-    bodies = texts.mapInArrow(_packed_texts, "sid long, point binary, body binary")
+    bodies = texts.mapInArrow(
+        _packed_texts, "sid long, n long, point binary, fine binary, body binary")
     sets = materialize(
         bodies.join(shared.select("sid").distinct(), "sid").groupBy("sid")
-        .agg(F.first("point").alias("point"), F.first("body").alias("body")), "sets")
+        .agg(*[F.first(c).alias(c) for c in ("n", "point", "fine", "body")]), "sets")
     links = found = None
     for turn in range(PARTNER_ROUNDS + 1):
         rows = materialize(_mixed(_with_components(shared, found)), "mixed")
@@ -392,12 +472,14 @@ def linked_sets(texts: DataFrame) -> DataFrame:
                                   KEYS_TRIED).alias("keys"))
                      .select("sid", F.explode("keys").alias("key")))
             rows = rows.join(tried, ["sid", "key"]).withColumns(
-                {"i": F.col("tile"), "j": F.col("tile")})
+                {"i": F.col("tile"), "j": F.col("tile"),
+                 "earlier": F.array().cast("array<long>")})
         else:
             other = F.explode(F.sequence(F.least(F.lit(1), "last_tile"), F.col("last_tile")))
-            rows = (rows.withColumn("other", other)
+            rows = (_with_earlier(rows).withColumn("other", other)
                     .withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}))
-        new = materialize(verified(_candidates(rows, sets, one), sets), "links")
+        pairs = _candidates(rows, sets, one)
+        new = materialize(verified(pairs if one else close_pairs(pairs, sets), sets), "links")
         links = new if links is None else links.union(new)
         found = components(links)
     return found

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from casedesk.llm import exact, graph, jaccard, substrings
@@ -86,6 +87,57 @@ def test_jaccard_with_frequent_shingles_in_tiles(spark, monkeypatch):
     assert rows_of(jaccard.near_duplicates(docs)) == brute.jaccard(rows)
 
 
+def test_jaccard_pairs_below_the_threshold_are_few(spark, monkeypatch):
+    """Texts somewhat alike share most of their keys: a pair is given once, and dropped unfetched."""
+    monkeypatch.setattr(jaccard, "PARTNER_ROUNDS", 0)
+    seen, candidates, verified = {}, jaccard._candidates, jaccard.verified
+
+    def watched(rows, sets, one):
+        columns = [c for c in ("key", "i", "j", "tile", "sid", "component", "rest", "point", "earlier")
+                   if c in rows.columns + sets.columns]
+        seen["emitted"] = (rows.join(sets.select("sid", "point"), "sid").select(*columns)
+                           .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                           .mapInArrow(jaccard._pairs(one), "a long, b long").count())
+        pairs = candidates(rows, sets, one)
+        seen["pairs"] = pairs.count()
+        return pairs
+
+    def counted(pairs, sets):
+        seen["verified"] = pairs.count()
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "_candidates", watched)
+    monkeypatch.setattr(jaccard, "verified", counted)
+    r = random.Random(5)
+    base = words(r, 400, 10_000).split()
+    rows = []
+    for i in range(40):
+        changed = list(base)
+        for at in r.sample(range(400), 9):
+            changed[at] = f"c{r.randrange(10_000)}"
+        rows.append((i, " ".join(changed)))
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(jaccard.near_duplicates(docs)) == brute.jaccard(rows)
+    assert seen["pairs"] > 500
+    assert seen["emitted"] < 2 * seen["pairs"]
+    assert seen["verified"] < seen["pairs"] / 5
+
+
+def test_finer_counts_drop_no_match():
+    r = np.random.default_rng(2)
+    for n, changed in ((40, 4), (396, 40), (396, 60), (9000, 900), (300_000, 30_000)):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate((a[r.permutation(len(a))[changed:]],
+                                      r.integers(0, 1 << 63, changed).astype(np.uint64))))
+        pack = jaccard.zstandard.ZstdCompressor().compress
+        row = pa.RecordBatch.from_pydict({
+            "a": [1], "b": [2], "n_a": [len(a)], "n_b": [len(b)],
+            "fine_a": [pack(jaccard.fine_of(a))], "fine_b": [pack(jaccard.fine_of(b))]})
+        kept = sum(x.num_rows for x in jaccard._close(iter([row])))
+        assert kept >= jaccard.matches(a, b)
+
+
 def test_rtree_finds_all_that_the_bound_allows():
     r = np.random.default_rng(1)
     points = r.poisson(3, (200, jaccard.GROUPS)).astype(np.int64)
