@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casedesk.llm.frames import changes, fresh, named, runs, sliced
 from casedesk.llm.graph import components
 from casedesk.llm.words import coded_texts, distinct, grams, spans
-from casedesk.session import materialize
+from casedesk.session import briefly, materialize
 
 SHINGLE = 5
 PERCENT = 80
@@ -452,34 +452,40 @@ def _candidates(rows: DataFrame, sets: DataFrame, one: bool) -> DataFrame:
 def linked_sets(texts: DataFrame) -> DataFrame:
     """(node, component) of all sets that are linked with another one; ``texts`` is one column."""
     hot, counts = hot_keys(texts)
-    shared = materialize(
-        texts.mapInArrow(_prefixes(hot, counts), "key long, tile int, sid long, rest int")
-        .repartition("key", "tile").sortWithinPartitions("key", "tile", "sid")
-        .mapInArrow(_shared, "key long, tile int, sid long, rest int"), "shared-keys")
-    bodies = texts.mapInArrow(
-        _packed_texts, "sid long, n long, point binary, fine binary, body binary")
-    sets = materialize(
-        bodies.join(shared.select("sid").distinct(), "sid").groupBy("sid")
-        .agg(*[F.first(c).alias(c) for c in ("n", "point", "fine", "body")]), "sets")
+    keys = (texts.mapInArrow(_prefixes(hot, counts), "key long, tile int, sid long, rest int")
+            .repartition("key", "tile").sortWithinPartitions("key", "tile", "sid")
+            .mapInArrow(_shared, "key long, tile int, sid long, rest int"))
+    with briefly(keys, "shared-keys") as shared:
+        bodies = texts.mapInArrow(
+            _packed_texts, "sid long, n long, point binary, fine binary, body binary")
+        bodies = (bodies.join(shared.select("sid").distinct(), "sid").groupBy("sid")
+                  .agg(*[F.first(c).alias(c) for c in ("n", "point", "fine", "body")]))
+        with briefly(bodies, "sets") as sets:
+            return _linked(shared, sets)
+
+
+def _linked(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) from the rows of shared keys; components are stored."""
     links = found = None
     for turn in range(PARTNER_ROUNDS + 1):
-        rows = materialize(_mixed(_with_components(shared, found)), "mixed")
         one = turn < PARTNER_ROUNDS
-        if one:
-            # A few keys of each set do for its partner; every turn takes others.
-            tried = (rows.groupBy("sid")
-                     .agg(F.slice(F.array_sort(F.collect_set("key")), 1 + turn * KEYS_TRIED,
-                                  KEYS_TRIED).alias("keys"))
-                     .select("sid", F.explode("keys").alias("key")))
-            rows = rows.join(tried, ["sid", "key"]).withColumns(
-                {"i": F.col("tile"), "j": F.col("tile"),
-                 "earlier": F.array().cast("array<long>")})
-        else:
-            other = F.explode(F.sequence(F.least(F.lit(1), "last_tile"), F.col("last_tile")))
-            rows = (_with_earlier(rows).withColumn("other", other)
-                    .withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}))
-        pairs = _candidates(rows, sets, one)
-        new = materialize(verified(pairs if one else close_pairs(pairs, sets), sets), "links")
+        with briefly(_mixed(_with_components(shared, found)), "mixed") as rows:
+            if one:
+                # A few keys of each set do for its partner; every turn takes others.
+                tried = (rows.groupBy("sid")
+                         .agg(F.slice(F.array_sort(F.collect_set("key")), 1 + turn * KEYS_TRIED,
+                                      KEYS_TRIED).alias("keys"))
+                         .select("sid", F.explode("keys").alias("key")))
+                rows = rows.join(tried, ["sid", "key"]).withColumns(
+                    {"i": F.col("tile"), "j": F.col("tile"),
+                     "earlier": F.array().cast("array<long>")})
+            else:
+                other = F.explode(F.sequence(F.least(F.lit(1), "last_tile"), F.col("last_tile")))
+                rows = (_with_earlier(rows).withColumn("other", other)
+                        .withColumns({"i": F.least("tile", "other"),
+                                      "j": F.greatest("tile", "other")}))
+            pairs = _candidates(rows, sets, one)
+            new = materialize(verified(pairs if one else close_pairs(pairs, sets), sets), "links")
         links = new if links is None else links.union(new)
         found = components(links)
     return found

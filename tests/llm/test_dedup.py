@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from casedesk import session
 from casedesk.llm import exact, graph, jaccard, substrings
 from tests.llm import brute
 from tests.llm.conftest import rows_of, words
@@ -124,6 +125,15 @@ def test_jaccard_pairs_below_the_threshold_are_few(spark, monkeypatch):
     assert seen["verified"] < seen["pairs"] / 5
 
 
+def test_jaccard_leaves_no_working_tables(spark, odd_docs, tmp_path, monkeypatch):
+    """Keys and texts are needed until the links are known, and take room no longer."""
+    monkeypatch.setattr(session, "shared_folder", lambda *_: str(tmp_path))
+    classes = rows_of(jaccard.near_duplicates(odd_docs))
+    assert classes
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("casedesk-*/*")}
+    assert "links" in left and not left & {"shared-keys", "sets", "mixed"}
+
+
 def test_finer_counts_drop_no_match():
     r = np.random.default_rng(2)
     for n, changed in ((40, 4), (396, 40), (396, 60), (9000, 900), (300_000, 30_000)):
