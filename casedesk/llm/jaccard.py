@@ -21,7 +21,9 @@ their first common key, so in its block the smaller of these numbers bounds the
 that meet only behind many of their own shingles, as those with a common passage do, give no pair.
 A pair comes from the block of its first common key alone, as far as the first ``FIRST_KEYS`` keys of
 its sets tell. Before whole sets are fetched, pairs are held against counts in ``FINE`` groups: sets
-differ at least by the sum of their differences there.
+differ at least by the sum of their differences there. Rows of keys with more than ``CROWDED`` sets bring
+these counts along, and their pairs are held against them before they are given out; other blocks
+give at most half of ``CROWDED`` pairs a row.
 
 Words are lower-cased in A-Z. Fewer than five words are one shingle; no words, or a null text, make
 an empty set, which is linked with nothing. Null ids never become the name of a component unless
@@ -54,6 +56,7 @@ PARTNER_ROUNDS = 2
 KEYS_TRIED = 3
 FIRST_KEYS = 8
 FINE = 1024
+CROWDED = 48
 
 
 # --- sets -------------------------------------------------------------------------------------
@@ -290,7 +293,8 @@ def _pairs(one: bool) -> Callable:
 
     With ``one`` every point gets the partner of another component with the best bound, at any
     common key; else pairs come from all blocks that can be that of their first common key, but
-    where two sets have one of their earlier keys in common.
+    where two sets have one of their earlier keys in common. Of blocks whose rows have a tenth column,
+    their finer counts, only the pairs that these allow are given.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
@@ -300,6 +304,7 @@ def _pairs(one: bool) -> Callable:
             points = np.frombuffer(raw, "<u4").reshape(-1, GROUPS).astype(np.int64)
             rest = points.sum(1) if one else rest.astype(np.int64)
             earlier, known = _padded(table.column(8))
+            fine = table.column(9) if table.num_columns > 9 else None
             found_a, found_b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 left = np.arange(lo, hi)
@@ -316,6 +321,9 @@ def _pairs(one: bool) -> Callable:
                 if not one:
                     new = ~_common(earlier, known, a, b)
                     a, b = a[new], b[new]
+                if fine is not None and len(a) and fine[lo].is_valid:
+                    near = _allowed(fine.slice(lo, hi - lo), points[lo:hi].sum(1), a - lo, b - lo)
+                    a, b = a[near], b[near]
                 if one and len(a):
                     order = np.lexsort((b, -bound, a))
                     first = np.concatenate(([True], a[order][1:] != a[order][:-1]))
@@ -345,24 +353,41 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 names=["sid", "n", "point", "fine", "body"])
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the rows (a, b, n_a, n_b, fine_a, fine_b) whose finer counts allow a match.
+def _fine_counts(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor()
+    raw = b"".join(unpack.decompress(x) for x in column.to_pylist())
+    return np.frombuffer(raw, "u1").reshape(-1, FINE)
+
+
+def _can_match(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether finer counts allow a match of sets with ``total`` shingles, row by row.
 
     Counts are known modulo 256; two differ at least by the shorter way round.
     """
-    unpack = zstandard.ZstdDecompressor()
+    way = a - b
+    apart = np.minimum(way, -way).sum(1, dtype=np.int64)
+    return (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
 
-    def counts(column: pa.Array) -> np.ndarray:
-        raw = b"".join(unpack.decompress(x) for x in column.to_pylist())
-        return np.frombuffer(raw, "u1").reshape(-1, FINE)
 
+def _allowed(fine: pa.ChunkedArray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the finer counts of a block's rows allow a match, for each pair of rows."""
+    used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    counts = _fine_counts(fine.take(pa.array(used)))
+    x, y = place[:len(a)], place[len(a):]
+    found = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 11):
+        part = slice(at, at + (1 << 11))
+        found[part] = _can_match(counts[x[part]], counts[y[part]], sizes[a[part]] + sizes[b[part]])
+    return found
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, n_a, n_b, fine_a, fine_b) whose finer counts allow a match."""
     for whole in batches:
         for at in range(0, whole.num_rows, 1 << 11):
             b = whole.slice(at, 1 << 11)
-            way = counts(b.column(4)) - counts(b.column(5))
-            apart = np.minimum(way, -way).sum(1, dtype=np.int64)
             total = b.column(2).to_numpy() + b.column(3).to_numpy()
-            close = (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
+            close = _can_match(_fine_counts(b.column(4)), _fine_counts(b.column(5)), total)
             yield b.select(["a", "b"]).filter(pa.array(close))
 
 
@@ -422,11 +447,11 @@ def _with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def _mixed(shared: DataFrame) -> DataFrame:
-    """Rows of blocks that hold several components, with the number of the key's tiles."""
+    """Rows of blocks that hold several components, with the key's tiles and how many sets hold it."""
     blocks = (shared.groupBy("key")
               .agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                   F.max("tile").alias("last_tile"))
-              .where("low <> high").select("key", "last_tile"))
+                   F.max("tile").alias("last_tile"), F.count("*").alias("held"))
+              .where("low <> high").select("key", "last_tile", "held"))
     return shared.join(blocks, "key")
 
 
@@ -443,8 +468,10 @@ def _with_earlier(rows: DataFrame) -> DataFrame:
 
 def _candidates(rows: DataFrame, sets: DataFrame, one: bool) -> DataFrame:
     """Pairs of the rows (key, i, j, tile, sid, component, rest, earlier), each once."""
-    return (rows.join(sets.select("sid", "point"), "sid")
-            .select("key", "i", "j", "tile", "sid", "component", "rest", "point", "earlier")
+    columns = ["key", "i", "j", "tile", "sid", "component", "rest", "point", "earlier"]
+    if not one:
+        columns.append(F.when(F.col("held") > CROWDED, F.col("fine")).alias("fine"))
+    return (rows.join(sets.select("sid", "point", "fine"), "sid").select(*columns)
             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             .mapInArrow(_pairs(one), "a long, b long").distinct())
 

@@ -125,6 +125,31 @@ def test_jaccard_pairs_below_the_threshold_are_few(spark, monkeypatch):
     assert seen["verified"] < seen["pairs"] / 5
 
 
+def test_jaccard_pairs_of_crowded_keys_are_in_proportion(spark, monkeypatch):
+    """Keys of many texts somewhat alike give the pairs that could match, not the square of the texts."""
+    monkeypatch.setattr(jaccard, "PARTNER_ROUNDS", 0)
+    seen, candidates = {}, jaccard._candidates
+
+    def watched(rows, sets, one):
+        pairs = candidates(rows, sets, one)
+        seen["pairs"] = pairs.count()
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_candidates", watched)
+    r = random.Random(6)
+    base = words(r, 400, 10_000).split()
+    rows = []
+    for i in range(130):
+        changed = list(base)
+        for at in r.sample(range(400), 12):
+            changed[at] = f"c{r.randrange(10_000)}"
+        rows.append((i, " ".join(changed)))
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(jaccard.near_duplicates(docs)) == brute.jaccard(rows)
+    assert 20 <= seen["pairs"] < 2 * len(rows)
+
+
 def test_jaccard_leaves_no_working_tables(spark, odd_docs, tmp_path, monkeypatch):
     """Keys and texts are needed until the links are known, and take room no longer."""
     monkeypatch.setattr(session, "shared_folder", lambda *_: str(tmp_path))
