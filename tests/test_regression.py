@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from casedesk.functions import lexicons as lex
-from casedesk.operators import classifier
+from casedesk.operators import classifier, regression
 
 SCHEMA = "customer_tweet_id long, previous_context string, customer_message string, intent string"
 
@@ -53,3 +53,28 @@ def test_coefficients_too_many_for_the_driver_are_fitted_in_tables(spark, train,
     again = classifier.IntentModel.load(spark, str(tmp_path / "model"))
     assert answers(again, train) == found
     assert again.regression.numClasses == 7
+
+
+def test_all_labelled_rows_are_fitted_to_one_block_of_rows_at_a_time(spark, train, tmp_path, monkeypatch):
+    """No row is left out, and no task of a product takes the numbers of all rows at once."""
+    def never(*args, **kw):
+        raise AssertionError("rows were picked")
+
+    monkeypatch.setattr(classifier, "bounded_rows", never)
+    whole = classifier.train_classifier(train, str(tmp_path / "whole"), tol=1e-9)
+    want = answers(whole, train)
+    monkeypatch.setattr(classifier, "DRIVER_COEFFICIENTS", 10)
+    monkeypatch.setattr(regression, "ROWS_PER_BLOCK", 7)
+    monkeypatch.setattr(regression, "ENTRIES_AT_ONCE", 10)
+    plans, product = [], regression._product
+
+    def watched(*args):
+        found = product(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(regression, "_product", watched)
+    model = classifier.train_classifier(train, str(tmp_path / "tables"), tol=1e-4)
+    found = answers(model, train)
+    assert np.allclose([row[2] for row in found], [row[2] for row in want], atol=2e-3)
+    assert "CoGroup" not in plans[0] and "SortMergeJoin" in plans[0] and "Bucketed: true" in plans[0]
