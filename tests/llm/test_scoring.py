@@ -176,6 +176,32 @@ def test_no_link_is_lost_between_hundreds_of_cells(spark, monkeypatch):
     assert [got[i] for i in range(len(rows))] == want.tolist() and want.min() >= 1
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_shuffled_about_once_at_a_time_and_groups_are_dealt_over_slots(spark, monkeypatch, kind):
+    """Many groups of cells, some of them with more vectors than a task holds, in turns."""
+    monkeypatch.setattr(vectors, "TILE", 40)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 30)
+    monkeypatch.setattr(vectors, "GROUP_BYTES", 60 * 4 * 8)
+    monkeypatch.setattr(vectors, "CHUNK", 16)
+    r, rows = np.random.default_rng(4), []
+    crowd = r.normal(size=8)
+    for i in range(420):
+        v = crowd + r.normal(scale=0.15, size=8) if i % 4 == 0 else r.normal(size=8)
+        rows.append((i, [float(x) for x in v.astype(np.float32)], i % 10 // 8))
+    rows += [(1000 + i, v, label) for i, v, label in rows[:30]]
+    sent, pieces = [], vectors.links
+
+    def watched(placed, per, *args):
+        sent.append((per, placed.selectExpr("max(size(groups))", "max(own)").first()))
+        return pieces(placed, per, *args)
+
+    monkeypatch.setattr(vectors, "links", watched)
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    got = rows_of(vectors.near_duplicates(table), "vec_id", "n_links", "component_id")
+    assert got == brute.vectors(rows)
+    assert sent[0][0] == 2 and min(sent[0][1]) >= 2
+
+
 # --- mixing
 
 def test_mix(odd_docs, odd_rows, no_docs):
